@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from provspark.llm import packing, pii, quality, simhash, token_counts
+from provspark.llm import media, mixing, packing, pii, quality, simhash, token_counts
 from provspark.llm.common import documents
 
 
+def op1_webp_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.features(documents(spark, sf_dir))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(documents(spark, sf_dir))
 
@@ -26,6 +30,10 @@ def op4_pii_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(documents(spark, sf_dir))
 
 
+def op7_mix_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(documents(spark, sf_dir))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
