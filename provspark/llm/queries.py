@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from provspark.llm import media, mixing, packing, pii, quality, simhash, token_counts
+from provspark.llm import brown_lm, media, mixing, packing, pii, quality, simhash, token_counts
 from provspark.llm.common import documents
 
 
@@ -34,6 +34,10 @@ def op7_mix_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(documents(spark, sf_dir))
 
 
+def op9_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown_lm.scores(documents(spark, sf_dir))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
