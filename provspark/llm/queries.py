@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from provspark.llm import brown_lm, media, mixing, packing, pii, quality, simhash, token_counts
+from provspark.llm import brown_lm, licenses, media, mixing, packing, pii, quality, simhash, token_counts, warc
 from provspark.llm.common import documents
 
 
@@ -34,6 +34,14 @@ def op7_mix_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(documents(spark, sf_dir))
 
 
+def op6_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
+
+
+def op8_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derivatives(warc.responses(spark.read.parquet(f"{sf_dir}/pages.parquet")), key="page_id")
+
+
 def op9_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brown_lm.scores(documents(spark, sf_dir))
 
@@ -47,4 +55,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_license_digests": licenses.sql()}
