@@ -21,12 +21,12 @@ from provspark.llm.common import BLANK_CHARS, BLANKS, cut
 
 ROUNDS = 60
 #: Where the search begins: most documents are good, rules seldom call a good one bad, and each sees a part of the bad ones.
-PRIOR, ON_GOOD, ON_BAD = 0.8, 0.998, 0.4
+PRIOR, ON_GOOD, ON_BAD = 0.8, 0.9995, 0.4
 #: Added to either side of each estimated share.
 SMOOTH = 1.0
 #: Votes on good documents that are assumed beforehand, as a multiple of the rows: a share ON_GOOD of them is right.
 #: Without them a rule that alone sees one kind of bad documents would be held for wrong on good ones.
-TRUST = 10.0
+TRUST = 30.0
 
 
 def band(x: Column, good: tuple[float, float], bad: tuple[float, float]) -> Column:
