@@ -118,7 +118,7 @@ def posteriors(rows: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """
     n = len(rules(lambda c: F.lit(0)))
     counts = rows.groupBy(F.col("_q_votes").alias("p")).agg(F.count(F.lit(1)).cast("double").alias("n"))
-    one = counts.agg(F.array_sort(F.collect_list(F.struct("p", F.transform(F.split("p", ","), lambda v: v.cast("int")).alias("v"), "n"))).alias("t"))
+    one = counts.agg(F.array_sort(F.collect_list(F.struct("p", F.transform(F.split("p", ","), lambda v: v.cast("int")).alias("v"), "n"))).alias("t")).filter(F.size("t") > 0)
     fitted = one.withColumn("m", F.expr(f"aggregate(sequence(1, {rounds}), {start(n)}, (m, round) -> {again(n)})"))
     return fitted.select(F.explode(F.expr(f"transform(t, r -> struct(r.p AS _q_pattern, {posterior('r')} AS _q_posterior))")).alias("x")).select("x.*")
 
