@@ -8,6 +8,7 @@ library is asked about each different word once (see Words).
 
 from __future__ import annotations
 
+import struct
 from bisect import bisect_left
 
 import public_tokenizers
@@ -42,18 +43,20 @@ class Words:
         try:
             return b"".join([known[w] for w in words])
         except KeyError:
-            self.learn({w for w in words if w not in known})
-            return b"".join([self.known[w] for w in words])
-
-    def learn(self, words: set[bytes]) -> None:
-        if len(self.known) + len(words) > MEMORY:
-            # Words of the present text are needed again.
-            self.known = {}
-        missing = list(words)
-        for at in range(0, len(missing), 4096):
-            some = missing[at : at + 4096]
+            pass
+        new = {w for w in words if w not in known}
+        if len(known) + len(new) > MEMORY:
+            # Forget all; what this text needs is learnt again.
+            self.known = known = {}
+            new = set(words)
+        self.learn(list(new))
+        return b"".join([known[w] for w in words])
+
+    def learn(self, words: list[bytes]) -> None:
+        for at in range(0, len(words), 4096):
+            some = words[at : at + 4096]
             for w, e in zip(some, self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)):
-                self.known[w] = b"".join(i.to_bytes(4, "little") for i in e.ids)
+                self.known[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
 
 
 class OutOfStep(Exception):

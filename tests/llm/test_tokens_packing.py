@@ -23,6 +23,14 @@ def test_ids_equal_library(text):
     assert [int.from_bytes(got[i : i + 4], "little") for i in range(0, len(got), 4)] == whole(text)
 
 
+def test_memory_is_bounded(monkeypatch):
+    monkeypatch.setattr(tokens, "MEMORY", 7)
+    words, r = tokens.Words(TOKENIZER), random.Random(9)
+    for _ in range(60):
+        text = " ".join(r.choice(PIECES) for _ in range(r.randint(0, 9)))
+        assert words.ids(text.encode()) == b"".join(i.to_bytes(4, "little") for i in whole(text))
+
+
 @settings(max_examples=400, deadline=None)
 @given(st.lists(st.sampled_from(PIECES), max_size=90).map("".join), st.integers(3, 40), st.integers(1, 12))
 def test_splice_equals_library(text, chunk, overlap):
