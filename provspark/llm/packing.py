@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from provspark.llm.common import batch, cut, ids_of, keyed, map_batches, text_bytes
-from provspark.llm.tokens import Words, word_bpe
+from provspark.llm.tokens import shared_words
 
 CAPACITY, END = 2048, 0
 #: Pieces for which there is one more hash bucket.
@@ -32,7 +32,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = "") -> Da
     """Each document's ids and a last id 0, cut into pieces only where they are more than capacity."""
 
     def make():
-        words = Words(word_bpe(tokenizer))
+        words = shared_words(tokenizer)
 
         def f(rows: pa.RecordBatch) -> pa.RecordBatch:
             out: dict[str, list] = {n: [] for n in PIECES.names}

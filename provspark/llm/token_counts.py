@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from provspark.llm.common import batch, ids_of, keyed, map_batches, text_bytes
-from provspark.llm.tokens import HUGE, Words, count, word_bpe
+from provspark.llm.tokens import HUGE, count, shared_words
 
 LIMIT = 2048
 COUNTS = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])
@@ -23,7 +23,7 @@ def counted(docs: DataFrame, tokenizer: str = "", limit: int = LIMIT, huge: int
     """
 
     def make():
-        words = Words(word_bpe(tokenizer))
+        words = shared_words(tokenizer)
 
         def f(rows: pa.RecordBatch) -> pa.RecordBatch:
             texts = text_bytes(rows.column("text"))

@@ -16,7 +16,10 @@ from tokenizers import Tokenizer
 
 WORD_BPE = "word_bpe_49k.json"
 #: Words whose ids one worker remembers before it forgets all and starts anew.
-MEMORY = 300_000
+MEMORY = 1_000_000
+#: Marks that are a token of their own after an ASCII letter or digit.
+LAST_MARKS = frozenset(b".,;:!?")
+ASCII_WORD = frozenset(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
 #: Characters of a text beyond which it counts as huge, of its chunks, and of the first overlap.
 HUGE, CHUNK, OVERLAP = 1 << 15, 1 << 14, 128
 
@@ -53,10 +56,27 @@ class Words:
         return b"".join([known[w] for w in words])
 
     def learn(self, words: list[bytes]) -> None:
-        for at in range(0, len(words), 4096):
-            some = words[at : at + 4096]
+        """Remember words; of one with a last mark, the library is asked about what stands before the mark."""
+        known = self.known
+        marked = {w for w in words if len(w) > 1 and w[-1] in LAST_MARKS and w[-2] in ASCII_WORD}
+        plain = [w for w in words if w not in marked]
+        plain += {x for w in marked for x in (w[:-1], w[-1:]) if x not in known}.difference(plain)
+        for at in range(0, len(plain), 4096):
+            some = plain[at : at + 4096]
             for w, e in zip(some, self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)):
-                self.known[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+                known[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+        for w in marked:
+            known[w] = known[w[:-1]] + known[w[-1:]]
+
+
+_SHARED: dict[str, Words] = {}
+
+
+def shared_words(path: str = "") -> Words:
+    """The words that this worker process remembers from one task to the next."""
+    if path not in _SHARED:
+        _SHARED[path] = Words(word_bpe(path))
+    return _SHARED[path]
 
 
 class OutOfStep(Exception):
