@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from provspark.llm.common import batch, cut, ids_of, keyed, map_batches, text_bytes
-from provspark.llm.tokens import shared_words
+from provspark.llm.tokens import id_lists, shared_words
 
 CAPACITY, END = 2048, 0
 #: Pieces for which there is one more hash bucket.
@@ -36,8 +36,8 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = "") -> Da
 
         def f(rows: pa.RecordBatch) -> pa.RecordBatch:
             out: dict[str, list] = {n: [] for n in PIECES.names}
-            for doc, text in zip(ids_of(rows).to_pylist(), text_bytes(rows.column("text"))):
-                ids = memoryview(words.ids(text) + END.to_bytes(4, "little"))
+            for doc, found in zip(ids_of(rows).to_pylist(), id_lists(text_bytes(rows.column("text")), words)):
+                ids = memoryview(found + END.to_bytes(4, "little"))
                 for k, at in enumerate(range(0, len(ids) // 4, capacity)):
                     part = ids[4 * at : 4 * (at + capacity)]
                     for n, x in zip(PIECES.names, (doc, k, at, len(part) // 4, zlib.crc32(part))):

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from provspark.llm.common import batch, ids_of, keyed, map_batches, text_bytes
-from provspark.llm.tokens import HUGE, count, shared_words
+from provspark.llm.tokens import HUGE, counts, shared_words
 
 LIMIT = 2048
 COUNTS = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])
@@ -27,7 +27,7 @@ def counted(docs: DataFrame, tokenizer: str = "", limit: int = LIMIT, huge: int
 
         def f(rows: pa.RecordBatch) -> pa.RecordBatch:
             texts = text_bytes(rows.column("text"))
-            n = [count(x, words, huge) for x in texts]
+            n = counts(texts, words, huge)
             return batch(COUNTS, doc_id=ids_of(rows), n_bytes=[len(x) for x in texts], n_tokens=n, over_limit=[x > limit for x in n])
 
         return f

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import struct
 from bisect import bisect_left
+from collections.abc import Iterator
 
 import public_tokenizers
 from tokenizers import Tokenizer
@@ -39,21 +40,24 @@ class Words:
 
     def ids(self, text: bytes) -> bytes:
         """The ids of a whole text's UTF-8, four bytes each."""
+        return self.many([text])[0]
+
+    def many(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of some texts; the library is asked about all their new words at once."""
         # The library lower-cases by itself. Doing it first for ASCII only saves memory, but would
         # make special tokens of their upper-case forms, and could compose marks that it doesn't.
-        words = (text.lower() if text.isascii() and b"<|" not in text else text).split()
-        known = self.known
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            pass
-        new = {w for w in words if w not in known}
-        if len(known) + len(new) > MEMORY:
-            # Forget all; what this text needs is learnt again.
-            self.known = known = {}
-            new = set(words)
-        self.learn(list(new))
-        return b"".join([known[w] for w in words])
+        split = [(t.lower() if t.isascii() and b"<|" not in t else t).split() for t in texts]
+        found = [[*map(self.known.get, words)] for words in split]
+        new = {w for words, ids in zip(split, found) if None in ids for w, i in zip(words, ids) if i is None}
+        if new:
+            if len(self.known) + len(new) > MEMORY:
+                # What is found is at hand already; only later texts ask again.
+                self.known = {}
+            self.learn(list(new))
+            for words, ids in zip(split, found):
+                if None in ids:
+                    ids[:] = [self.known[w] if i is None else i for w, i in zip(words, ids)]
+        return [b"".join(ids) for ids in found]
 
     def learn(self, words: list[bytes]) -> None:
         """Remember words; of one with a last mark, the library is asked about what stands before the mark."""
@@ -133,8 +137,18 @@ def common(text: str, spans: list[tuple[int, int]], begin: int, new: list[tuple[
     raise OutOfStep
 
 
-def count(text: bytes, words: Words, huge: int = HUGE) -> int:
-    """Tokens of a text's UTF-8."""
-    if len(text) > huge:
-        return len(splice(text.decode(), words.tokenizer))
-    return len(words.ids(text)) // 4
+def counts(texts: list[bytes], words: Words, huge: int = HUGE) -> list[int]:
+    """Tokens of each text's UTF-8."""
+    short = iter(id_lists([t for t in texts if len(t) <= huge], words))
+    return [len(splice(t.decode(), words.tokenizer)) if len(t) > huge else len(next(short)) // 4 for t in texts]
+
+
+def id_lists(texts: list[bytes], words: Words, most: int = 1 << 19) -> Iterator[bytes]:
+    """The ids of texts, of about most bytes at a time."""
+    at = 0
+    while at < len(texts):
+        end, size = at, 0
+        while end < len(texts) and (end == at or size + len(texts[end]) <= most):
+            size, end = size + len(texts[end]), end + 1
+        yield from words.many(texts[at:end])
+        at = end
