@@ -18,12 +18,13 @@ FIELDS = ("event", "node_id", "seq", "text", "error")
 IDLE_MS = 3_600_000
 
 
-def follow(fragments: DataFrame, any_resume: bool = False, require_signature: bool = False, idle_ms: int = IDLE_MS) -> DataFrame:
+def follow(fragments: DataFrame, any_resume: bool = False, require_signature: bool = False, idle_ms: int | None = IDLE_MS) -> DataFrame:
     """Events of streams from fragments (stream_id, frag_no, data), as they come.
 
     Fragments of one stream may come in any order within a micro-batch; they are sorted by frag_no there, and must not
     come in an earlier batch than their predecessors. State is a reader for each stream, dropped when
-    the stream has ended or been idle for idle_ms; an idle stream gives no event.
+    been idle for idle_ms; an idle stream gives no event. None: never; a query that is to end by itself
+    (availableNow) needs that, as it would wait for the timeouts.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
@@ -41,11 +42,12 @@ def follow(fragments: DataFrame, any_resume: bool = False, require_signature: bo
             # What comes after the end is ignored, so only that much is remembered.
             reader.held, reader.texts = b"", {}
         state.update((pickle.dumps((reader, no)),))
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         if out:
             yield pd.DataFrame(out, columns=["stream_id", "event_no", *FIELDS]).astype({"seq": "Int64"})
 
-    return fragments.select("stream_id", "frag_no", "data").groupBy("stream_id").applyInPandasWithState(step, EVENTS, "reader binary", "append", "ProcessingTimeTimeout")
+    return fragments.select("stream_id", "frag_no", "data").groupBy("stream_id").applyInPandasWithState(step, EVENTS, "reader binary", "append", "NoTimeout" if idle_ms is None else "ProcessingTimeTimeout")
 
 
 def replayed(files: DataFrame, key: str = "path", content: str = "content") -> DataFrame:

@@ -110,7 +110,7 @@ def test_structured_streams(spark, tmp_path):
     good, bad = stream([("main", 0, "a"), ("main", 1, "b")]), stream([("main", 1, "a"), ("main", 0, "b")])
     cut = lambda n, d: [(n, i, d[i * 50 : i * 50 + 50]) for i in range(-(-len(d) // 50))]
     a, b = cut("good", good), cut("bad", bad)
-    got = run_stream(spark, tmp_path, "fragments", None, "stream_id string, frag_no long, data binary", streams.follow, [a[1::-1] + b[:2], a[2:] + b[2:]])
+    got = run_stream(spark, tmp_path, "fragments", None, "stream_id string, frag_no long, data binary", lambda df: streams.follow(df, idle_ms=None), [a[1::-1] + b[:2], a[2:] + b[2:]])
     events = lambda n: [r.event for r in sorted(got, key=lambda r: r.event_no) if r.stream_id == n]
     assert events("good") == ["opened", "partial_text", "partial_text", "verified"] and events("bad") == ["opened", "partial_text", "error"]
     got = run_stream(spark, tmp_path, "steps", None, "stream_id string, step_no long, id string, deps array<string>", streams.growing_graphs, [[("s", 0, "a", ["c"]), ("s", 1, "b", ["a"])], [("s", 2, "c", ["b"]), ("s", 3, "c", [])]])
