@@ -546,6 +546,39 @@ def grouping_sets(spark, d):
     return spark.sql("SELECT source, lang, avg(n_chars) AS avg_chars, count(*) AS n FROM _documents GROUP BY GROUPING SETS ((source), (lang), ())")
 
 
+@query("""SELECT event_id, strftime(make_timestamp((epoch_us(ts) // 1000) * 1000), '%Y-%m-%dT%H:%M:%S.%gZ') AS iso, epoch_us(ts) // 1000 AS ms, CASE WHEN event_id % 3 = 0 THEN 0 ELSE epoch_us(ts) // 1000 END AS parsed, epoch_us(ts) // 1000 * 1000000 AS ns FROM events""")
+def time_formats(spark, d):
+    ms = S.epoch_ms(F.col("ts"))
+    iso = S.iso_ms(ms)
+    text = F.when(F.col("event_id") % 3 == 0, "not a time").otherwise(iso)
+    return table(spark, d, "events").select("event_id", iso.alias("iso"), ms.alias("ms"), S.parse_iso_ms(text).alias("parsed"), S.nanos(ms).alias("ns"))
+
+
+@query("""SELECT s_name AS signer, s_name || CASE WHEN s_suppkey % 2 = 0 THEN '=a=b' ELSE '' END AS opt, CASE WHEN s_suppkey % 2 = 0 THEN s_name END AS name, CASE WHEN s_suppkey % 2 = 0 THEN 'a=b' END AS value FROM supplier""")
+def option_parse(spark, d):
+    opt = F.concat("s_name", F.when(F.col("s_suppkey") % 2 == 0, "=a=b").otherwise(""))
+    name, value = S.named_value(F.col("opt"))
+    return table(spark, d, "supplier").select(F.col("s_name").alias("signer"), opt.alias("opt")).withColumns({"name": name, "value": value})
+
+
+@query("SELECT p_partkey, CAST(p_partkey % 256 AS BIGINT) & 1 <> 0 AS provenance, CAST(p_partkey % 256 AS BIGINT) & 4 <> 0 AS trace, CAST(p_partkey % 256 AS BIGINT) & 64 <> 0 AS multisig, CAST(p_partkey % 256 AS BIGINT) & 128 <> 0 AS streaming FROM part")
+def flag_bits(spark, d):
+    return table(spark, d, "part").select("p_partkey", *[S.flag(F.col("p_partkey") % 256, n).alias(n) for n in ("provenance", "trace", "multisig", "streaming")])
+
+
+@query("""SELECT l_orderkey AS graph, count(*) AS n, CASE WHEN count(*) > 3 THEN array_to_string(list(CAST(l_linenumber AS VARCHAR) ORDER BY l_linenumber, l_partkey)[1:3], ', ') || ' … and ' || (count(*) - 3) || ' more' ELSE array_to_string(list(CAST(l_linenumber AS VARCHAR) ORDER BY l_linenumber, l_partkey), ', ') END AS ids FROM lineitem GROUP BY 1""")
+def short_lists(spark, d):
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda x: x["l_linenumber"].cast("string"))
+    return table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("graph")).agg(F.count(F.lit(1)).alias("n"), ids.alias("all")).select("graph", "n", S.short_list(F.col("all"), 3).alias("ids"))
+
+
+@query("""SELECT event_id, value / 500 AS mean, value / 1000 AS var, (value / 500 BETWEEN 0 AND 1) AND CASE WHEN event_id % 7 = 0 THEN false ELSE true END AS ok FROM events""")
+def distribution_ranges(spark, d):
+    mean, var = F.col("value") / 500, F.col("value") / 1000
+    low, high = F.when(F.col("event_id") % 7 == 0, 0.9).otherwise(0.1), F.lit(0.5)
+    return table(spark, d, "events").select("event_id", mean.alias("mean"), var.alias("var"), metrics.distribution_ok(mean, var, low, high).alias("ok"))
+
+
 # --- event time
 
 FIGURES = ("count(1) AS n", "round(sum(value), 4) AS total")

@@ -50,6 +50,23 @@ def test_imports():
     assert back["payload"][2]["confidence"]["mean"] == 0.75 and back["trace"][1]["deps"] == ["thought_0"]
 
 
+def test_keys_and_envelopes():
+    from provspark.codec import ed25519, keys as K
+
+    seeds = {n: bytes([i]) * 32 for i, n in enumerate("abc", 1)}
+    public = {n: ed25519.public_key(s) for n, s in seeds.items()}
+    records = [K.rotated(seeds[x], seeds[y], x, y, 5) for x, y in ("ab", "bc")]
+    assert K.successors(records, public) == {"a": "c", "b": "c"}
+    assert not K.rotation_ok(records[0] | {"timestamp_ms": 6}, public["a"], public["b"]) and not K.rotation_ok({}, public["a"], public["b"])
+    assert K.successors([records[0] | {"new_key_proof": records[0]["proof"]}], public) == {}
+    assert K.opened(K.envelope("c", "l", "m", b"x", b"y")) == ("c", "l", "m", b"x", b"y")
+    for bad in (lambda: K.envelope("", "l", "m", b"x"), lambda: K.envelope("c", "l", "m", b""), lambda: K.opened({}), lambda: K.opened(K.envelope("c", "l", "m", b"x") | {"spif_b64": "?"})):
+        with pytest.raises(ValueError):
+            bad()
+    assert len(K.vector_fingerprint([0.1, -0.5] * 40)) == 16
+    assert len(ed25519.seed_from_words("some words", rounds=1)) == 32
+
+
 def test_lists(spark, tmp_path):
     good = {"artifact_digest": "d", "signer": "s", "issued_ms": 1, "reason": "other", "signature": base64.b64encode(b"x").decode()}
     write = lambda name, text: ((tmp_path / name).write_text(text), str(tmp_path / name))[1]
