@@ -6,6 +6,8 @@ place, with the failure in the column decode, so nothing throws and precedence c
 
 from __future__ import annotations
 
+import base64
+import binascii
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 
 from provspark.codec import artifact as A
 from provspark.codec import cbor, ed25519
+from provspark.functions.scalars import HYBRID_KEY, HYBRID_SIGNATURE, PQ_SIGNATURE
 
 DIST = pa.struct([("mean", pa.float64()), ("var", pa.float64()), ("shape", pa.string()), ("semantics", pa.string()), ("p5", pa.float64()), ("p95", pa.float64())])
 NODE = pa.struct([("id", pa.string()), ("type", pa.string()), ("value", pa.string()), ("value_cbor", pa.binary()), ("value_kind", pa.string()), ("confidence", DIST), ("refs", pa.list_(pa.string()))])
@@ -131,10 +134,11 @@ def write_files(df: DataFrame, path: str, key: str = "artifact_id", content: str
     df.select(F.col(key).cast("string").alias("name"), F.col(content).alias("content")).write.format("artifact_files").option("path", path).mode("append").save()
 
 
-def verified(rows: DataFrame, known: DataFrame | None = None) -> DataFrame:
+def verified(rows: DataFrame, known: DataFrame | None = None, require_pq: bool = False) -> DataFrame:
     """(artifact_id, signer, algorithm, status, basis) for each signature of decoded(..., with_body=True) rows.
 
     known: (signer, key_b64) of pinned keys. Signatures are checked where their bytes are: only keys are joined.
+    require_pq: post-quantum components must be checked too, for which there is no backend here, so good ones are unverifiable.
     """
     one = rows.filter("decode.ok").select("artifact_id", "body", F.explode("signatures").alias("s")).select("artifact_id", "body", "s.signer", "s.algorithm", "s.signature")
     if known is not None:
@@ -144,17 +148,19 @@ def verified(rows: DataFrame, known: DataFrame | None = None) -> DataFrame:
         one = one.withColumns({"_s": F.lit(None).cast("string"), "_k": F.lit(None).cast("string")})
     pinned = F.col("_s").isNotNull()
     one = one.select("artifact_id", "signer", "algorithm", F.when(pinned, F.col("_k")).otherwise(F.col("signer")).alias("key"), F.when(pinned, "pinned").otherwise("resolved").alias("basis"), "body", "signature")
-    return one.mapInArrow(check_signatures, "artifact_id string, signer string, algorithm string, status string, basis string")
+    return one.mapInArrow(lambda batches: check_signatures(batches, require_pq), "artifact_id string, signer string, algorithm string, status string, basis string")
 
 
-def check_signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def check_signatures(batches: Iterator[pa.RecordBatch], require_pq: bool) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([(n, pa.string()) for n in ("artifact_id", "signer", "algorithm", "status", "basis")])
     for b in batches:
         out = []
         for r in b.to_pylist():
             key = ed25519.raw_key(r["key"] or "")
             if r["algorithm"] == "ed25519+ml-dsa-65":
-                status = hybrid_status(r)
+                status = hybrid_status(r, require_pq)
+            elif r["algorithm"] == "ml-dsa-65":
+                status = "invalid" if require_pq and len(r["signature"]) != PQ_SIGNATURE else "unverifiable"
             elif r["algorithm"] != "ed25519" or key is None or ed25519.weak(key):
                 status = "unverifiable"
             else:
@@ -163,20 +169,19 @@ def check_signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_pylist(out, schema=schema)
 
 
-def hybrid_status(r: dict) -> str:
-    """Classical mode: the first component decides; a size that isn't the registered one is invalid."""
-    import base64
-    import binascii
-
-    if len(r["signature"]) != 3373:
+def hybrid_status(r: dict, require_pq: bool) -> str:
+    """In classical mode the first component decides; a size that isn't the registered one is invalid in either mode."""
+    if len(r["signature"]) != HYBRID_SIGNATURE:
         return "invalid"
     try:
         raw = base64.b64decode(r["key"] or "", validate=True)
     except (binascii.Error, ValueError):
         return "unverifiable"
-    if len(raw) not in (32, 1984):
+    if len(raw) not in (32, HYBRID_KEY):
         return "unverifiable"
-    return "valid" if ed25519.verify(raw[:32], r["body"], r["signature"][:64]) else "invalid"
+    if not ed25519.verify(raw[:32], r["body"], r["signature"][:64]):
+        return "invalid"
+    return "unverifiable" if require_pq else "valid"
 
 
 def authentic(statements: DataFrame, signers: DataFrame | None = None) -> DataFrame:
@@ -194,7 +199,7 @@ def authentic(statements: DataFrame, signers: DataFrame | None = None) -> DataFr
     return statements.select(*columns).mapInArrow(run, "artifact_digest string, signer string, issued_ms long, reason string, signature binary, authentic boolean")
 
 
-def trust_report(files: DataFrame, key: str, content: str, known: DataFrame | None = None, statements: DataFrame | None = None, bundle: DataFrame | None = None) -> DataFrame:
+def trust_report(files: DataFrame, key: str, content: str, known: DataFrame | None = None, statements: DataFrame | None = None, bundle: DataFrame | None = None, require_pq: bool = False) -> DataFrame:
     """One row for each artifact: its trust status and what led to it.
 
     statements: revocations from elsewhere; those that artifacts carry count as well. bundle: (content_id, node_id) that
@@ -203,7 +208,7 @@ def trust_report(files: DataFrame, key: str, content: str, known: DataFrame | No
     from provspark.operators import trust
 
     rows = decoded(files, key, content, with_body=True)
-    checked = verified(rows, known)
+    checked = verified(rows, known, require_pq)
     docs = rows.select("artifact_id", "artifact_digest", "content_id", F.col("decode.ok").alias("ok"), F.col("decode.error_class").alias("error_class"), F.transform("signatures", lambda s: s["signer"]).alias("signers"))
     rolled = trust.rolled_up(docs, checked).withColumn("trust_status", F.when(~F.col("ok"), "INVALID").otherwise(F.col("trust_status")))
     told = rows.filter("decode.ok").select(F.explode("revocations").alias("r")).select("r.*")

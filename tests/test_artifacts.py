@@ -47,6 +47,37 @@ def test_trust_report(spark, files):
     assert {r.artifact_id: r.trust_status for r in S.trust_report(df, "path", "content", statements=told).collect()}["multi"] == "REVOKED"
 
 
+def test_hybrid_signatures(spark):
+    key = base64.b64encode(ed25519.public_key(SEED[1]) + bytes(1952)).decode()
+    doc = document(9)
+
+    def made(algorithm, size, seed=SEED[1]):
+        blank = {"slot": "single", "algorithm": algorithm, "signer": key, "signature": bytes(size), "key_id": ""}
+        body = A.signing_body(A.encode(doc | {"signatures": [blank]}))
+        return A.encode(doc | {"signatures": [blank | {"signature": (ed25519.sign(seed, body) + bytes(size))[:size]}]})
+
+    rows = {"good": made("ed25519+ml-dsa-65", 3373), "short": made("ed25519+ml-dsa-65", 64), "bad": made("ed25519+ml-dsa-65", 3373, SEED[2]), "pq": made("ml-dsa-65", 3309), "pq_short": made("ml-dsa-65", 9), "other": made("rsa", 64)}
+    df = spark.createDataFrame(list(rows.items()), "path string, content binary")
+    status = lambda **k: {r.artifact_id: r.trust_status for r in S.trust_report(df, "path", "content", **k).collect()}
+    want = {"good": "VALID", "short": "INVALID", "bad": "INVALID", "pq": "UNVERIFIABLE", "pq_short": "UNVERIFIABLE", "other": "UNVERIFIABLE"}
+    assert status() == want and status(require_pq=True) == want | {"good": "UNVERIFIABLE", "pq_short": "INVALID"}
+
+
+def test_event_time_streams(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    from pyspark.sql import functions as F
+
+    from provspark.operators import windows
+
+    at = lambda m: datetime(2024, 1, 1) + timedelta(minutes=m)
+    figures = [F.count(F.lit(1)).alias("n")]
+    rows = [[(at(1), 1.0), (at(9), 1.0), (at(12), 1.0)], [(at(50), 1.0)], [(at(120), 1.0)], [(at(121), 1.0)], [(at(2), 1.0)], [(at(300), 1.0)]]
+    got = run_stream(spark, tmp_path, "timed", None, "ts timestamp, value double", lambda df: windows.tumbling(df, "ts", "10 minutes", [], figures, late="5 minutes"), rows)
+    by = {r.window_start.minute + 60 * r.window_start.hour: r.n for r in got}
+    assert by[0] == 2 and by[10] == 1 and by[50] == 1  # the late row is dropped
+
+
 def test_bundle(spark):
     target = document(7)
     n = dict(document(8)["payload"][0], refs=[f"spif:sha256:{A.content_id(target)}#{target['payload'][0]['id']}", f"spif:sha256:{A.content_id(target)}#none"])
