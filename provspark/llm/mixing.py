@@ -21,6 +21,8 @@ from provspark.llm.common import BLANK_CHARS, BLANKS, cut
 
 SIDES = ("source", "lang", "topic")
 CELLS, ROUNDS, CLOSE = 1_000_000, 100, 1e-9
+#: Cells up to which their table is broadcast, so that texts stay where they are; beyond that the optimizer decides.
+BROADCAST = 100_000
 #: The targets unless others are given: shares of tokens to this power, so large groups give way to small ones.
 TEMPER = 0.7
 #: The share of all tokens that is kept.
@@ -131,7 +133,8 @@ def probabilities(rows: DataFrame, targets: Mapping[str, Mapping[str, float]] |
     """By cell of placed(): source, lang, topic, tokens, factor and probability."""
     spark = rows.sparkSession
     table = cut(cells(rows))
-    if table.count() <= most:
+    n = table.count()
+    if n <= most:
         got = table.orderBy(*SIDES).collect()  # most rows at most, as counted
         tokens = np.array([r.tokens for r in got], float)
         factor = rake([tuple(r[s] for s in SIDES) for r in got], tokens, targets)
@@ -141,12 +144,13 @@ def probabilities(rows: DataFrame, targets: Mapping[str, Mapping[str, float]] |
     else:
         out = rake_frames(table, targets)
         by = scale_frames(out, keep)
-    return out.withColumn("probability", F.least(F.lit(1.0), F.col("factor") * by))
+    out = out.withColumn("probability", F.least(F.lit(1.0), F.col("factor") * by))
+    return F.broadcast(out) if n <= BROADCAST else out
 
 
 def drawn(rows: DataFrame, table: DataFrame) -> DataFrame:
     """Rows of placed() with _m_p and _m_kept: a number from 0 to 1 that doc_id, the text and the seed fix is below the probability."""
-    goal = table.select(*(F.col(s).alias(f"_g_{s}") for s in SIDES), F.col("probability").alias("_m_p"))
+    goal = table.select(*(F.col(s).alias(f"_g_{s}") for s in SIDES), F.col("probability").alias("_m_p"))  # keeps the hint
     at = [F.col(f"_m_{s}") == F.col(f"_g_{s}") for s in SIDES]
     lot = F.pmod(F.xxhash64(F.lit(SEED), F.col("doc_id"), F.col("text")), F.lit(1 << 32)) / F.lit(float(1 << 32))
     return rows.join(goal, at, "left").withColumn("_m_kept", lot < F.coalesce("_m_p", F.lit(0.0)))
