@@ -79,6 +79,16 @@ def artifact_chunks(spark, d):
     return S.chunk_rows(built(spark, d).filter("CAST(artifact_id AS BIGINT) % 6 <> 5"), "artifact_id").select("artifact_id", "name")
 
 
+@query("SELECT CAST(conv_id AS VARCHAR) AS artifact_id, CASE WHEN conv_id % 6 = 5 THEN 'INVALID' WHEN conv_id % 2 = 1 THEN 'UNSIGNED' ELSE 'VALID' END AS trust_status, CASE WHEN conv_id % 6 = 5 THEN 0 ELSE 2 END AS present, conv_id < 0 AS complete FROM (SELECT DISTINCT conv_id FROM conversations)")
+def audit_report(spark, d):
+    return S.audit(built(spark, d), "artifact_id", "content", ["source_model", "nonce", "risk_tier"]).select("artifact_id", "trust_status", "present", "complete")
+
+
+@query("SELECT CAST(conv_id AS VARCHAR) AS artifact_id, conv_id % 4 = 0 AS accepted, CASE WHEN conv_id % 6 = 5 THEN 'invalid' WHEN conv_id % 2 = 1 THEN 'unsigned' WHEN conv_id % 4 = 0 THEN 'accepted' ELSE 'unexpected_signer' END AS reason FROM (SELECT DISTINCT conv_id FROM conversations)")
+def cross_org_handoff(spark, d):
+    return S.handoff(built(spark, d), "artifact_id", "content", SIGNERS[0])
+
+
 @query("""WITH t AS (SELECT conv_id, turn, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations)
 SELECT CAST(conv_id AS VARCHAR) AS stream_id, 'opened' AS event, NULL::BIGINT AS seq FROM (SELECT DISTINCT conv_id FROM t) UNION ALL SELECT CAST(conv_id AS VARCHAR), 'partial_text', turn FROM t WHERE conv_id % 5 <> 0 OR turn = 0 UNION ALL SELECT DISTINCT CAST(conv_id AS VARCHAR), CASE WHEN conv_id % 5 = 0 AND n > 1 THEN 'error' ELSE 'verified' END, NULL FROM t""")
 def stream_events(spark, d):

@@ -221,3 +221,20 @@ def trust_report(files: DataFrame, key: str, content: str, known: DataFrame | No
     return out.join(found, F.col("artifact_id") == F.col("_a"), "left").select(
         "artifact_id", "trust_status", "error_class", "artifact_digest", "content_id", "n_signatures", "revocations_applied", "forged_revocations", zero("refs_resolved"), zero("refs_unresolved"), trust.exit_code(F.col("trust_status")).alias("exit_code")
     )
+
+
+def audit(files: DataFrame, key: str, content: str, fields: list[str], **how) -> DataFrame:
+    """The trust report with how many of the named provenance fields are filled in, and whether all are."""
+    from provspark.operators import export
+
+    rows = decoded(files, key, content).select("artifact_id", *[F.col(f"provenance.{f}").alias(f) for f in fields])
+    have = export.compliance(rows, fields).withColumnRenamed("artifact_id", "_a")
+    return trust_report(files, key, content, **how).join(have, F.col("artifact_id") == F.col("_a"), "left").drop("_a")
+
+
+def handoff(files: DataFrame, key: str, content: str, expected_signer: str, **how) -> DataFrame:
+    """(artifact_id, accepted, reason): whether another party's artifacts are VALID and signed by whom they should be."""
+    signers = decoded(files, key, content).select(F.col("artifact_id").alias("_a"), F.transform("signatures", lambda s: s["signer"]).alias("_s"))
+    met = trust_report(files, key, content, **how).join(signers, F.col("artifact_id") == F.col("_a"), "left")
+    reason = F.when(F.col("trust_status") != "VALID", F.lower("trust_status")).when(~F.array_contains("_s", expected_signer), "unexpected_signer").otherwise("accepted")
+    return met.select("artifact_id", (reason == "accepted").alias("accepted"), reason.alias("reason"))
