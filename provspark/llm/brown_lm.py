@@ -185,12 +185,13 @@ def learn(docs: DataFrame, counts: DataFrame, kernel: int = KERNEL, head: int =
     """The model of keyed() documents and their word_counts()."""
     total, distinct = counts.agg(F.sum("n"), F.count(F.lit(1))).first()
     words = counts.filter(F.length("word") > 0)
-    top = [(bytes(r.word), r.n) for r in words.orderBy(F.desc("n"), "word").limit(head).collect()]  # head rows at most
+    first = words.orderBy(F.desc("n"), "word").limit(head).toArrow()  # head rows at most
+    top = list(zip(first["word"].to_pylist(), first["n"].to_pylist()))
     core = [w for w, _ in top[:kernel]]
     units = len(core) + SHAPES + 1
-    got = pair_counts(docs, core).toPandas()  # units squared rows at most
+    got = pair_counts(docs, core).toArrow()  # units squared rows at most, 16 bytes each
     pairs = np.zeros(units * units)
-    pairs[got["pair"].to_numpy(np.int64)] = got["n"]
+    pairs[got["pair"].to_numpy()] = got["n"].to_numpy()
     of_shape = words.withColumn("s", F.pmod(F.crc32(F.expr("substring(word, -3, 3)")), F.lit(SHAPES)))
     shapes = {r.s: (r.t, r.k) for r in of_shape.groupBy("s").agg(F.sum("n").alias("t"), F.count(F.lit(1)).alias("k")).collect()}  # SHAPES rows
     for w, n in top[:kernel]:
