@@ -44,7 +44,8 @@ def successors(records: list[dict], keys: dict[str, bytes]) -> dict[str, str]:
     return out
 
 
-TEXTS = ("content", "visible_label", "machine_readable_mark")
+#: Field names of an envelope.
+TEXTS, ARTIFACT, MANIFEST = ("content", "visible_label", "machine_readable_mark"), "spif_b64", "c2pa_manifest_b64"
 
 
 def envelope(content: str, visible_label: str, machine_readable_mark: str, artifact: bytes, manifest: bytes | None = None) -> dict:
@@ -52,9 +53,9 @@ def envelope(content: str, visible_label: str, machine_readable_mark: str, artif
     out: dict[str, Any] = dict(zip(TEXTS, (content, visible_label, machine_readable_mark)))
     if not all(isinstance(v, str) and v.strip() for v in out.values()) or not isinstance(artifact, bytes) or not artifact or manifest is not None and not manifest:
         raise ValueError("an envelope has texts and bytes that aren't empty")
-    out["spif_b64"] = base64.b64encode(artifact).decode()
+    out[ARTIFACT] = base64.b64encode(artifact).decode()
     if manifest is not None:
-        out["c2pa_manifest_b64"] = base64.b64encode(manifest).decode()
+        out[MANIFEST] = base64.b64encode(manifest).decode()
     return out
 
 
@@ -62,8 +63,8 @@ def opened(value: dict) -> tuple[str, str, str, bytes, bytes | None]:
     """What envelope() was made of."""
     try:
         texts = [value[k] for k in TEXTS]
-        artifact = base64.b64decode(value["spif_b64"], validate=True)
-        manifest = value.get("c2pa_manifest_b64")
+        artifact = base64.b64decode(value[ARTIFACT], validate=True)
+        manifest = value.get(MANIFEST)
         manifest = None if manifest is None else base64.b64decode(manifest, validate=True)
     except (KeyError, TypeError, binascii.Error) as e:
         raise ValueError("not an envelope") from e

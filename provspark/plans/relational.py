@@ -265,8 +265,8 @@ def signer_keys(spark, d):
     return trust.resolved_keys(rows.select(F.col("s_name").alias("signer")), known)
 
 
-@query("""WITH b AS (SELECT sha256(coalesce(text, '')) AS cid FROM documents WHERE doc_id % 2 = 0),
-r AS (SELECT doc_id AS artifact_id, CASE WHEN doc_id % 3 = 0 THEN 'node' ELSE 'spif:sha256:' || sha256(coalesce(text, '')) || '#n' || (doc_id % 2) END AS ref FROM documents)
+@query(f"""WITH b AS (SELECT sha256(coalesce(text, '')) AS cid FROM documents WHERE doc_id % 2 = 0),
+r AS (SELECT doc_id AS artifact_id, CASE WHEN doc_id % 3 = 0 THEN 'node' ELSE '{S.CROSS_DOCUMENT}' || sha256(coalesce(text, '')) || '#n' || (doc_id % 2) END AS ref FROM documents)
 SELECT artifact_id, ref, CASE WHEN ref = 'node' THEN 'local' ELSE 'cross-document' END AS kind, CASE WHEN ref = 'node' THEN 'local' WHEN split_part(substr(ref, 13), '#', 1) IN (SELECT cid FROM b) AND ref LIKE '%#n0' THEN 'resolved' ELSE 'unresolved' END AS status FROM r""")
 def bundle_resolution(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("artifact_id"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("cid"))

@@ -80,7 +80,7 @@ def test_event_time_streams(spark, tmp_path):
 
 def test_bundle(spark):
     target = document(7)
-    n = dict(document(8)["payload"][0], refs=[f"spif:sha256:{A.content_id(target)}#{target['payload'][0]['id']}", f"spif:sha256:{A.content_id(target)}#none"])
+    n = dict(document(8)["payload"][0], refs=[f"{A.CROSS_DOCUMENT}{A.content_id(target)}#{target['payload'][0]['id']}", f"{A.CROSS_DOCUMENT}{A.content_id(target)}#none"])
     df = spark.createDataFrame([("a", A.encode({"payload": [n]})), ("b", A.encode(target))], "path string, content binary")
     rows = S.decoded(df).filter("artifact_id = 'b'").selectExpr("content_id", "explode(payload.id) AS node_id")
     got = {r.artifact_id: r for r in S.trust_report(df, "path", "content", bundle=rows).collect()}

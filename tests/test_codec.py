@@ -10,6 +10,7 @@ from hypothesis import strategies as st
 
 from provspark.codec import artifact as A
 from provspark.codec import cbor, ed25519
+from provspark.functions.scalars import CROSS_DOCUMENT
 
 VALUES = st.recursive(
     st.none() | st.booleans() | st.integers(-(2**70), 2**70) | st.floats(allow_nan=False) | st.text(max_size=9) | st.binary(max_size=9),
@@ -160,7 +161,7 @@ def test_graph_rules():
     n = lambda i, *refs: {"id": i, "type": "fact", "value": 1, "confidence": distribution(r), "refs": list(refs)}
     bad = [[n("a"), n("a")], [n("a", "b")], [n("a", "b"), n("b", "a")], [n("a", "a")], [n("")], []]
     assert all(kind(A.encode({"payload": p})) == ("format", 10) for p in bad)
-    assert kind(A.encode({"payload": [n("a", "spif:sha256:00#x")]})) == ()
+    assert kind(A.encode({"payload": [n("a", CROSS_DOCUMENT + "00#x")]})) == ()
 
 
 def test_listing_of_broken_files():

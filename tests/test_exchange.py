@@ -60,7 +60,7 @@ def test_keys_and_envelopes():
     assert not K.rotation_ok(records[0] | {"timestamp_ms": 6}, public["a"], public["b"]) and not K.rotation_ok({}, public["a"], public["b"])
     assert K.successors([records[0] | {"new_key_proof": records[0]["proof"]}], public) == {}
     assert K.opened(K.envelope("c", "l", "m", b"x", b"y")) == ("c", "l", "m", b"x", b"y")
-    for bad in (lambda: K.envelope("", "l", "m", b"x"), lambda: K.envelope("c", "l", "m", b""), lambda: K.opened({}), lambda: K.opened(K.envelope("c", "l", "m", b"x") | {"spif_b64": "?"})):
+    for bad in (lambda: K.envelope("", "l", "m", b"x"), lambda: K.envelope("c", "l", "m", b""), lambda: K.opened({}), lambda: K.opened(K.envelope("c", "l", "m", b"x") | {K.ARTIFACT: "?"})):
         with pytest.raises(ValueError):
             bad()
     assert len(K.vector_fingerprint([0.1, -0.5] * 40)) == 16

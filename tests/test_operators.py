@@ -16,7 +16,7 @@ def one(spark, column, **values):
 def test_scalars(spark):
     got = spark.range(1).select(
         S.vendor(F.lit("My-GPT by Anthropic")).alias("vendor"), S.confidence_bar(F.lit(0.125)).alias("bar"), S.parse_iso_ms(F.lit("junk")).alias("bad"), S.parse_iso_ms(F.lit("2024-01-01T00:00:00.250Z")).alias("ms"),
-        S.token_seq(F.lit("AAAA")).alias("short"), S.is_cross(F.lit("spif:sha256:ab")).alias("no_node"), S.ref_node(F.lit("spif:sha256:ab#x#y")).alias("node"), S.clamp(F.lit(7.0)).alias("clamped"), S.short_list(F.array(F.lit("a"))).alias("ids"),
+        S.token_seq(F.lit("AAAA")).alias("short"), S.is_cross(F.lit(S.CROSS_DOCUMENT + "ab")).alias("no_node"), S.ref_node(F.lit(S.CROSS_DOCUMENT + "ab#x#y")).alias("node"), S.clamp(F.lit(7.0)).alias("clamped"), S.short_list(F.array(F.lit("a"))).alias("ids"),
     ).first()
     assert tuple(got) == ("anthropic", "██" + "░" * 10, 0, 1704067200250, None, False, "x#y", 1.0, "a")
 
