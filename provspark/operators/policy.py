@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -112,36 +113,42 @@ def event_reasons(events: DataFrame, expected_signer: Column | None = None) -> D
 def governed(events: DataFrame) -> DataFrame:
     """(chain_id, pos, event_id, event_type, parent_ids, valid, reason) with the topology of each chain enforced.
 
-    A chain is folded in the order of pos, since an event that fails can't be a parent of a later
-    one. Chains are short by nature; they are spread over tasks by chain_id.
+    A chain is folded in the order of pos, since an event that fails can't be a parent of a later one.
+    Chains are spread over tasks and sorted within them; a task holds one chain's valid events at a time.
     """
-    return events.groupBy("chain_id").applyInPandas(folded, events.select("chain_id", "pos", "event_id", "event_type", "parent_ids", "valid", "reason").schema)
-
-
-def folded(chain):
-    chain = chain.sort_values("pos", kind="stable")[["chain_id", "pos", "event_id", "event_type", "parent_ids", "valid", "reason"]].reset_index(drop=True)
-    order, kept, reasons = {t: i for i, t in enumerate(EVENT_TYPES)}, {}, []
-    decided = False
-    for event_id, kind, parents, valid, reason in chain[["event_id", "event_type", "parent_ids", "valid", "reason"]].itertuples(index=False):
-        if valid:
-            parents = [] if parents is None else list(parents)
-            root = kind == "Decision"
-            if event_id in kept:
-                reason = "duplicate_event_id"
-            elif root and (parents or decided) or not root and not parents:
-                reason = "invalid_root"
-            elif len(set(parents)) < len(parents):
-                reason = "duplicate_parent"
-            elif not all(p in kept for p in parents):
-                reason = "missing_parent"
-            elif any(order[kept[p]] >= order[kind] for p in parents):
-                reason = "parent_order"
-            else:
-                kept[event_id], decided = kind, decided or root
-        reasons.append(reason)
-    chain["reason"] = reasons
-    chain["valid"] = chain["reason"] == "verified"
-    return chain
+    columns = ["chain_id", "pos", "event_id", "event_type", "parent_ids", "valid", "reason"]
+    rows = events.select(*columns)
+    return rows.repartition("chain_id").sortWithinPartitions("chain_id", "pos").mapInArrow(fold_chains, rows.schema)
+
+
+def fold_chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    order = {t: i for i, t in enumerate(EVENT_TYPES)}
+    chain, kept, decided = object(), {}, False
+    for b in batches:
+        reasons = []
+        for own, event_id, kind, parents, valid, reason in zip(*(b.column(n).to_pylist() for n in ("chain_id", "event_id", "event_type", "parent_ids", "valid", "reason"))):
+            if own != chain:
+                chain, kept, decided = own, {}, False
+            if valid:
+                reason = misplaced(event_id, kind, parents or [], kept, decided, order)
+                if reason == "verified":
+                    kept[event_id], decided = kind, decided or kind == "Decision"
+            reasons.append(reason)
+        new = {"reason": pa.array(reasons, b.schema.field("reason").type), "valid": pa.array([r == "verified" for r in reasons])}
+        yield pa.RecordBatch.from_arrays([new.get(n, b.column(n)) for n in b.schema.names], names=b.schema.names)
+
+
+def misplaced(event_id: str, kind: str, parents: list[str], kept: Mapping[str, str], decided: bool, order: Mapping[str, int]) -> str:
+    """What is wrong with a valid event's place after the kept ones, or verified."""
+    if event_id in kept:
+        return "duplicate_event_id"
+    if kind == "Decision" and (parents or decided) or kind != "Decision" and not parents:
+        return "invalid_root"
+    if len(set(parents)) < len(parents):
+        return "duplicate_parent"
+    if not all(p in kept for p in parents):
+        return "missing_parent"
+    return "parent_order" if any(order[kept[p]] >= order[kind] for p in parents) else "verified"
 
 
 def chain_summary(decisions: DataFrame) -> DataFrame:

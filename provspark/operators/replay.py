@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,21 +21,24 @@ def several(df: DataFrame) -> DataFrame:
     A document is a replay if any of its signers has used the nonce; one that is rejected uses up
     nothing, so each nonce is folded in the order of arrival. Nonces are the partitions: all pairs of a document share one.
     """
-    schema = "arrival long, nonce string, signers array<string>, status string"
     have = F.coalesce("nonce", F.lit("")) != ""
     rows = df.select(F.col("arrival").cast("bigint").alias("arrival"), "nonce", "signers")
     without = rows.filter(~have).withColumn("status", F.lit("no_nonce"))
-    return rows.filter(have).groupBy("nonce").applyInPandas(fold, schema).unionByName(without)
-
-
-def fold(group):
-    group = group.sort_values("arrival", kind="stable").reset_index(drop=True)
-    used, status = set(), []
-    for signers in group["signers"]:
-        members = {None} if signers is None or len(signers) == 0 else set(signers)
-        fresh = used.isdisjoint(members)
-        status.append("fresh" if fresh else "replay")
-        if fresh:
-            used |= members
-    group["status"] = status
-    return group[["arrival", "nonce", "signers", "status"]]
+    sorted_rows = rows.filter(have).repartition("nonce").sortWithinPartitions("nonce", "arrival")
+    return sorted_rows.mapInArrow(fold, "arrival long, nonce string, signers array<string>, status string").unionByName(without)
+
+
+def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by nonce and arrival; the signers of one nonce are held at a time."""
+    nonce, used = None, set()
+    for b in batches:
+        status = []
+        for own, signers in zip(b.column("nonce").to_pylist(), b.column("signers").to_pylist()):
+            if own != nonce:
+                nonce, used = own, set()
+            members = set(signers) if signers else {None}
+            fresh = used.isdisjoint(members)
+            status.append("fresh" if fresh else "replay")
+            if fresh:
+                used |= members
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(status, pa.string())], names=[*b.schema.names, "status"])
