@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from provspark.llm.common import batch, cut, keyed, sliced, text_bytes
 
-#: Words that are clustered, classes for them, classes by shape, and words whose counts every worker holds.
+#: Words that are clustered, classes for them, classes by shape, and words at most whose counts every worker holds.
 KERNEL, CLASSES, SHAPES, HEAD = 1024, 64, 32, 1 << 17
 #: Added to counts of words; prior weight of class frequencies in transitions; rounds of exchange at most.
 ADD, WEIGHT, ROUNDS = 0.1, 10.0, 12
@@ -181,12 +181,30 @@ class Model:
         self.known = n > 0
 
 
+def frequent(words: DataFrame, most: int) -> list[tuple[bytes, int]]:
+    """The words of the highest counts, most of them at most, without sorting the rest.
+
+    Counts fall into bands of a sixteenth of a doubling, about a thousand of them whatever the corpus; bands are taken
+    whole from the top while they fit. Then by count, and by word.
+    """
+    band = F.floor(16 * F.log2("n")).cast("int")
+    sizes = sorted(words.groupBy(band.alias("b")).count().collect(), reverse=True)
+    least, total = None, 0
+    for b, n in sizes:
+        if total + n > most:
+            break
+        least, total = b, total + n
+    if least is None:
+        return []
+    got = words.filter(band >= least).select("word", "n").toArrow()
+    return sorted(zip(got["word"].to_pylist(), got["n"].to_pylist()), key=lambda x: (-x[1], x[0]))
+
+
 def learn(docs: DataFrame, counts: DataFrame, kernel: int = KERNEL, head: int = HEAD) -> Model:
     """The model of keyed() documents and their word_counts()."""
     total, distinct = counts.agg(F.sum("n"), F.count(F.lit(1))).first()
     words = counts.filter(F.length("word") > 0)
-    first = words.orderBy(F.desc("n"), "word").limit(head).toArrow()  # head rows at most
-    top = list(zip(first["word"].to_pylist(), first["n"].to_pylist()))
+    top = frequent(words, head)
     core = [w for w, _ in top[:kernel]]
     units = len(core) + SHAPES + 1
     got = pair_counts(docs, core).toArrow()  # units squared rows at most, 16 bytes each
