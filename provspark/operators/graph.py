@@ -18,23 +18,49 @@ def dangling(edges: DataFrame, nodes: DataFrame, exempt: str = "") -> DataFrame:
     return lost.filter(~F.col("dep").startswith(exempt)) if exempt else lost
 
 
-def stuck(nodes: DataFrame, edges: DataFrame, rounds: int = 1000) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
+    """A checkpoint that forgets the estimated size and the partitionings: from join to join, these would double in length."""
+    saved, spark = df.checkpoint()._jdf, df.sparkSession
+    return DataFrame(spark._jsparkSession.createDataFrame(saved.toJavaRDD(), saved.schema()), spark)
+
+
+def stuck(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(graph, id) of nodes on a cycle or depending on one: what is left after taking away, again and again, nodes without open deps.
 
-    Each round is two joins over what is left; lineage is cut in each. Dangling deps don't hold a node.
+    Each round also contracts chains: a node with one open dep shares its fate, so what depends on it depends on the
+    end of its chain instead. Rounds go on until one changes nothing; lineage is cut in each. Dangling deps don't hold a node.
+    """
+    every = nodes.select("graph", "id").distinct()
+    links = cut(edges.select("graph", "id", "dep").distinct().join(every, ["graph", "id"], "left_semi").join(every.withColumnRenamed("id", "dep"), ["graph", "dep"], "left_semi").select("graph", "id", "dep"))
+    fate = every.withColumn("rep", F.col("id"))
+    before, now = -1, links.count()
+    while now not in (before, 0):
+        held = cut(links.join(links.select("graph", F.col("id").alias("dep")).distinct(), ["graph", "dep"], "left_semi").select("graph", "id", "dep"))
+        ends = chain_ends(held)
+        fate = cut(renamed(fate, ends, "rep"))
+        others = renamed(held.join(ends, ["graph", "id"], "left_anti"), ends, "dep")
+        links = cut(others.unionByName(ends.filter("id = end").select("graph", "id", F.col("end").alias("dep"))).distinct())
+        before, now = now, links.count()
+    return fate.join(links.select("graph", F.col("id").alias("rep")).distinct(), ["graph", "rep"], "left_semi").select("graph", "id")
+
+
+def chain_ends(links: DataFrame) -> DataFrame:
+    """(graph, id, end) of nodes with one dep: the first node down the chain with none or several, or itself if the chain runs into a ring.
+
+    By doubling, as often as the longest possible chain needs: no more than a graph has such nodes.
     """
-    left = nodes.select("graph", "id").distinct()
-    links = edges.select("graph", "id", "dep").distinct()
-    before = -1
-    for _ in range(rounds):
-        inner = left.select(F.col("graph").alias("_g"), F.col("id").alias("_i"))
-        links = links.join(inner, (F.col("graph") == F.col("_g")) & (F.col("dep") == F.col("_i")), "left_semi").checkpoint()
-        left = left.join(links.select(F.col("graph").alias("_g"), F.col("id").alias("_i")).distinct(), (F.col("graph") == F.col("_g")) & (F.col("id") == F.col("_i")), "left_semi").checkpoint()
-        now = left.count()
-        if now == before or not now:
-            break
-        before = now
-    return left
+    one = cut(links.groupBy("graph", "id").agg(F.count(F.lit(1)).alias("n"), F.min("dep").alias("end")).filter("n = 1").select("graph", "id", "end"))
+    jump = one
+    for _ in range((one.groupBy("graph").count().agg(F.max("count")).first()[0] or 0).bit_length()):
+        jump = cut(renamed(jump, jump, "end"))
+    ring = one.select("graph", F.col("id").alias("end"), F.lit(True).alias("ring"))
+    return cut(jump.join(ring, ["graph", "end"], "left").select("graph", "id", F.when(F.col("ring"), F.col("id")).otherwise(F.col("end")).alias("end")))
+
+
+def renamed(df: DataFrame, ends: DataFrame, column: str) -> DataFrame:
+    """df with its column's nodes replaced by their ends, if they have one."""
+    to = ends.select("graph", F.col("id").alias(column), F.col("end").alias("_end"))
+    return df.join(to, ["graph", column], "left").withColumn(column, F.coalesce("_end", column)).select(*df.columns)
 
 
 def in_row_stuck(ids: list[str], deps: list[list[str]]) -> list[str]:

@@ -1,11 +1,12 @@
 """Operators on hand-made rows: the edges that the queries' tables don't have."""
 
 import math
+import random
 
 from pyspark.sql import functions as F
 
 from provspark.functions import scalars as S
-from provspark.operators import chain, documents, metrics, policy, trust
+from provspark.operators import chain, documents, graph, metrics, policy, trust
 
 
 def one(spark, column, **values):
@@ -79,3 +80,21 @@ def test_roles_and_keys(spark):
     grants = spark.createDataFrame([("held", "a"), ("closed", None)], "role string, signer string")
     got = {(r.role, r.signer): r.authorized for r in trust.role_checked(claims, grants).collect()}
     assert got == {("open", "a"): True, ("held", "a"): True, ("held", "b"): False, ("closed", "a"): False}
+
+
+def test_stuck_has_no_bound_of_rounds(spark):
+    chain_of = [("long", str(i), str(i - 1)) for i in range(1, 1500)]
+    ring = [("ring", str(i), str((i + 1) % 5)) for i in range(5)] + [("ring", str(i), str(i - 1)) for i in range(5, 40)]
+    r, mixed = random.Random(2), []
+    for g in range(30):
+        mixed += [(f"g{g}", str(i), str(r.randrange(i) if r.random() < 0.93 else r.randrange(12))) for i in range(1, 12) for _ in range(r.randint(0, 3))]
+    mixed += [("g0", "3", "absent"), ("g1", "4", "4")]
+    edges = chain_of + ring + mixed
+    nodes = {(g, i) for g, i, _ in edges} | {(g, d) for g, _, d in edges if d != "absent"} | {("none", "0")}
+    want = set()
+    for g in {g for g, _ in nodes}:
+        ids = sorted(i for h, i in nodes if h == g)
+        want |= {(g, i) for i in graph.in_row_stuck(ids, [[d for h, j, d in edges if (h, j) == (g, i)] for i in ids])}
+    got = graph.stuck(spark.createDataFrame(sorted(nodes), "graph string, id string"), spark.createDataFrame(edges, "graph string, id string, dep string")).collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+    assert {i for g, i in want if g == "ring"} == {str(i) for i in range(40)} and not any(g == "long" for g, _ in want) and any(g[0] == "g" for g, _ in want)
