@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from provspark.operators.graph import cut
+
 
 def hops(chain: str, position: str) -> Window:
     return Window.partitionBy(chain).orderBy(position)
@@ -41,13 +43,17 @@ def trusted_prefix(df: DataFrame, chain: str, position: str) -> DataFrame:
     return df.withColumn("in_trust", F.max((~F.col("link_ok")).cast("int")).over(upto) == 0)
 
 
-def lineage(df: DataFrame, start: Column, depth: int = 64) -> DataFrame:
-    """content_id, origin and depth of what each start document descends from, by context_ref, at most depth steps back.
+def lineage(df: DataFrame, start: Column, depth: int | None = None) -> DataFrame:
+    """content_id, origin and depth of what each start document descends from, by context_ref, to the very first.
 
-    One join a step; a step without rows ends it. Documents that name each other in a ring end at depth.
+    Steps are doubled: each round adds ancestors twice as far away, so rounds number the logarithm of the longest chain;
+    lineage is cut in each. Documents that name each other in a ring count once, at their smallest depth.
+    depth: walk step by step, at most so many steps back, where a ring repeats.
     """
     links = df.select(F.col("content_id").alias("child"), F.col("context_ref").alias("parent")).filter("parent <> ''").dropDuplicates(["child"])
     now = df.filter(start).select(F.col("content_id").alias("origin"), "content_id", F.lit(0).alias("depth")).distinct()
+    if depth is None:
+        return doubled(now, links)
     out = now
     for _ in range(depth):
         now = step(now, links)
@@ -57,6 +63,22 @@ def lineage(df: DataFrame, start: Column, depth: int = 64) -> DataFrame:
     return out
 
 
+def doubled(now: DataFrame, links: DataFrame) -> DataFrame:
+    """now, rows of depth 0, with all ancestors by links (child, parent), until a round finds no new pair."""
+    out, jump, far = now.checkpoint(), links.checkpoint(), 1
+    have = out.count()
+    while True:
+        further = out.join(jump, F.col("content_id") == F.col("child")).select("origin", F.col("parent").alias("content_id"), (F.col("depth") + far).alias("depth"))
+        out = out.unionByName(further).groupBy("origin", "content_id").agg(F.min("depth").alias("depth"))
+        out = cut(out)
+        before, have = have, out.count()
+        if have == before:
+            return out
+        after = jump.select(F.col("child").alias("_c"), F.col("parent").alias("_p"))
+        jump = cut(jump.join(after, F.col("parent") == F.col("_c")).select("child", F.col("_p").alias("parent")))
+        far *= 2
+
+
 def step(now: DataFrame, links: DataFrame) -> DataFrame:
     return now.join(links, F.col("content_id") == F.col("child")).select("origin", F.col("parent").alias("content_id"), (F.col("depth") + 1).alias("depth"))
 

@@ -82,6 +82,14 @@ def test_roles_and_keys(spark):
     assert got == {("open", "a"): True, ("held", "a"): True, ("held", "b"): False, ("closed", "a"): False}
 
 
+def test_lineage_of_long_chains_and_rings(spark):
+    rows = [(f"k{i}", f"k{i - 1}" if i else "") for i in range(200)] + [("t", "x"), ("x", "y"), ("y", "z"), ("z", "x")]
+    df = spark.createDataFrame(rows, "content_id string, context_ref string")
+    got = {(r.origin, r.content_id): r.depth for r in chain.lineage(df, F.col("content_id").isin("k199", "k3", "t")).collect()}
+    want = {("k199", f"k{i}"): 199 - i for i in range(200)} | {("k3", f"k{i}"): 3 - i for i in range(4)} | {("t", c): i for i, c in enumerate("txyz")}
+    assert got == want
+
+
 def test_stuck_has_no_bound_of_rounds(spark):
     chain_of = [("long", str(i), str(i - 1)) for i in range(1, 1500)]
     ring = [("ring", str(i), str((i + 1) % 5)) for i in range(5)] + [("ring", str(i), str(i - 1)) for i in range(5, 40)]
