@@ -1,7 +1,7 @@
 """WARC derivatives: responses to linked metadata and plain-text conversion records.
 
-Each response record gives two records that refer to it: metadata (the source's headers, the page's
-title, language and links) and conversion (its text). Both keep the source's date, target and payload
+Each response record gives two records that refer to it: metadata (all headers of the source record and of its HTTP
+message, in order and with repeated ones, the page's title, language and links) and conversion (its text). Both keep the source's date, target and payload
 digest, and each has a block digest of its own. Record identifiers are name-based, so a page that
 is derived again gets the same ones.
 
@@ -48,20 +48,26 @@ def record(headers: list[tuple[str, str]], block: bytes) -> bytes:
     return NEWLINE.join([VERSION, *lines, b"", block, b"", b""])
 
 
-def headers_of(head: bytes) -> tuple[str, dict[str, str]]:
-    """A first line and the headers below it, by lower-case name; a line that begins with a blank goes on."""
+class Headers(dict[str, str]):
+    """The last value of each header by lower-case name, and all of them in order, with repeated ones, as pairs."""
+
+    def __init__(self, pairs: list[tuple[str, str]]) -> None:
+        super().__init__(pairs)
+        self.pairs = pairs
+
+
+def headers_of(head: bytes) -> tuple[str, Headers]:
+    """A first line and the headers below it; a line that begins with a blank goes on."""
     first, *rest = head.split(NEWLINE)
-    out: dict[str, str] = {}
-    name = ""
+    out: list[tuple[str, str]] = []
     for line in rest:
         text = line.decode("utf-8", "replace")
-        if name and text[:1] in (" ", "\t"):
-            out[name] += " " + text.strip()
+        if out and text[:1] in (" ", "\t"):
+            out[-1] = out[-1][0], out[-1][1] + " " + text.strip()
         elif ":" in text:
             name, _, value = text.partition(":")
-            name = name.strip().lower()
-            out[name] = value.strip()
-    return first.decode("utf-8", "replace"), out
+            out.append((name.strip().lower(), value.strip()))
+    return first.decode("utf-8", "replace"), Headers(out)
 
 
 def records_of(data: bytes) -> Iterator[bytes]:
@@ -81,7 +87,7 @@ def records_of(data: bytes) -> Iterator[bytes]:
         at = end
 
 
-def parsed(data: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
+def parsed(data: bytes) -> tuple[Headers, Headers, bytes]:
     """A response record's own headers, its HTTP headers (the status line as ':status') and its body, decoded."""
     head, gap, rest = data.partition(NEWLINE * 2)
     first, headers = headers_of(head)
@@ -103,7 +109,7 @@ def parsed(data: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
             body = zlib.decompress(body, 47 if http["content-encoding"].lower() == "gzip" else 15)
     except zlib.error as e:
         raise Unreadable("the body can't be decompressed") from e
-    return headers, {":status": status} | http, body
+    return headers, Headers([(":status", status), *http.pairs]), body
 
 
 def unchunked(body: bytes) -> bytes:
@@ -193,8 +199,9 @@ def derived(data: bytes) -> list[dict]:
         return [dict.fromkeys(ROWS.names) | {"error": str(e)}]
     page, digest = page_of(http, body), headers.get("warc-payload-digest") or sha1(body)
     fields = [("title", page.title.strip()), ("language", page.lang), ("source-digest", digest)]
-    fields += [(f"http-{k.lstrip(':')}", v) for k, v in http.items()] + [("outlink", x) for x in page.links]
-    metadata = "".join(f"{k}: {' '.join(v.split())}\r\n" for k, v in fields if v).encode()
+    fields = [x for x in fields if x[1]] + [(f"source-{k}", v) for k, v in headers.pairs]
+    fields += [(f"http-{k.lstrip(':')}", v) for k, v in http.pairs] + [("outlink", x) for x in page.links]
+    metadata = "".join(f"{k}: {' '.join(v.split())}\r\n" for k, v in fields).encode()
     out = []
     for kind, content, block in (("metadata", "application/warc-fields", metadata), ("conversion", "text/plain; charset=utf-8", page.text().encode("utf-8", "replace"))):
         own = {"record_type": kind, "record_id": name_of(source, kind), "refers_to": source, "target_uri": headers.get("warc-target-uri", ""), "date": headers.get("warc-date", ""), "content_type": content, "source_payload_digest": digest, "block_digest": sha1(block)}

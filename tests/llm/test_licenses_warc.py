@@ -59,3 +59,12 @@ def test_unreadable(spark):
     bad = [None, b"", b"junk", good[:200], good.replace(b"response", b"request!"), good.replace(b"HTTP/1.1", b"SMTP/1.1"), chunked]
     got = W.derivatives(spark.createDataFrame([(x,) for x in bad], "record binary")).collect()
     assert [bool(r.error) for r in got] == [True] * 6 + [False] * 2 and got[-1].block == "hello"
+
+
+def test_all_source_headers_are_kept():
+    http = b"HTTP/1.1 200 OK\r\nSet-Cookie: a=1\r\nLink: <x>;\r\n rel=y\r\nSet-Cookie: b=2\r\nX-Empty:\r\nVia: p\r\nVia: q\r\n\r\n<p>hello"
+    head = [("WARC-Type", "response"), ("WARC-Record-ID", "<urn:z>"), ("WARC-Concurrent-To", "<urn:1>"), ("WARC-Concurrent-To", "<urn:2>"), ("WARC-IP-Address", "192.0.2.7"), ("WARC-Block-Digest", W.sha1(http))]
+    block = W.derived(W.record(head, http))[0]["block"]
+    lines = block.split("\r\n")
+    assert [x for x in lines if x.startswith("http-")] == ["http-status: HTTP/1.1 200 OK", "http-set-cookie: a=1", "http-link: <x>; rel=y", "http-set-cookie: b=2", "http-x-empty: ", "http-via: p", "http-via: q"]
+    assert [x for x in lines if x.startswith("source-warc-")] == [f"source-{k.lower()}: {v}" for k, v in head]
