@@ -1,9 +1,11 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
 Documents fall into cells by source, language and topic. The cells' token weights are raked until
-their marginals over sources, languages and topics equal the targets. Each cell's factor, scaled so
-that the asked share of all tokens is kept and cut at 1, is then the probability with which a document of
-it is kept: cells that are scarcer than their target asks for are kept whole.
+their marginals over sources, languages and topics equal the targets: that gives each cell's factor.
+Probabilities are raked anew with the bound of 1 inside the iteration, to the same targets of the asked share of
+all tokens: what a cell at the bound lacks, the other cells of its source, language and topic make up for.
+A value that has fewer tokens than its target asks for is kept whole, and the rest of its target goes to
+the others of its side in proportion.
 
 Only tokens by cell are summed over the corpus, map-side first, so a hot source is a few partial sums.
 Raking works on the cells: on the driver up to CELLS of them, and beyond that as DataFrames.
@@ -82,6 +84,107 @@ def rake(names: list[tuple[str, ...]], tokens: np.ndarray, targets: Mapping[str,
     return factor
 
 
+def bounded_goals(have: np.ndarray, share: np.ndarray, asked: float) -> np.ndarray:
+    """Tokens to keep of each value: asked tokens by their shares, at most have; what a value lacks goes to the others in proportion."""
+    goal, whole = np.zeros(len(have)), share <= 0
+    while not whole.all():
+        left = max(0.0, asked - goal[whole].sum())
+        goal[~whole] = share[~whole] / share[~whole].sum() * left
+        over = ~whole & (goal > have)
+        if not over.any():
+            break
+        goal[over], whole = have[over], whole | over
+    return goal
+
+
+def bounded(names: list[tuple[str, ...]], tokens: np.ndarray, factor: np.ndarray, keep: float, targets: Mapping[str, Mapping[str, float]] | None = None, rounds: int = ROUNDS) -> np.ndarray:
+    """A probability for each cell, so that cells' tokens times it have bounded_goals() on every side, as far as they can together.
+
+    Begins with rake()'s factors. Each value's multiplier is found exactly, with the cells that reach 1 under it left at 1. The last
+    step brings the whole to the asked share of tokens, where the cells with a factor have as many.
+    """
+    x = np.where(factor > 0, factor, 0.0)
+    sides = []
+    for k, side in enumerate(SIDES):
+        values, at = np.unique([n[k] for n in names], return_inverse=True)
+        all_of, have = np.bincount(at, tokens, len(values)), np.bincount(at, tokens * (x > 0), len(values))
+        want = dict((targets or {}).get(side) or tempered(dict(zip(values.tolist(), all_of.tolist())), TEMPER))
+        share = np.array([want.get(v, 0.0) for v in values.tolist()])
+        sides.append((at, bounded_goals(have, share, keep * tokens.sum()), have))
+    for _ in range(rounds):
+        worst = 0.0
+        for at, goal, have in sides:
+            step = multipliers(at, x, tokens, goal, have)
+            kept = np.bincount(at, tokens * np.minimum(1, x), len(goal))
+            worst = max(worst, float(np.abs(kept - goal).max(initial=0)))
+            x = np.clip(x * step[at], 0.0, 1e100)
+        if worst < CLOSE * tokens.sum():
+            break
+    return np.minimum(1, x * scale(tokens, x, keep))
+
+
+def multipliers(at: np.ndarray, x: np.ndarray, tokens: np.ndarray, goal: np.ndarray, have: np.ndarray) -> np.ndarray:
+    """By value, the number m for which its cells' tokens times least(1, m x) add up to its goal; where that is all it has, all reach 1."""
+    order = np.lexsort((-x, at))
+    a, v, t = at[order], x[order], tokens[order]
+    first = np.searchsorted(a, np.arange(len(goal)))
+    before = lambda y: (total := np.concatenate([[0.0], np.cumsum(y)]))[:-1] - total[first][a]
+    rest = np.bincount(a, t * v, len(goal))[a] - before(t * v)
+    by = np.divide(goal[a] - before(t), rest, out=np.full(len(a), np.inf), where=(rest > 0) & (v > 0))
+    fits = (by * v <= 1 + 1e-12) & (by >= 0)
+    out = np.ones(len(goal))
+    at_fit = np.nonzero(fits)[0][::-1]
+    least = np.full(len(goal), np.inf)
+    np.minimum.at(least, at[x > 0], x[x > 0])
+    whole = (goal >= have * (1 - 1e-12)) & np.isfinite(least)
+    out[a[at_fit]] = by[at_fit]  # the first that fits, as the last that is set
+    out[whole] = np.maximum(1.0, 1 / least[whole])
+    return out
+
+
+def bounded_frames(table: DataFrame, keep: float, targets: Mapping[str, Mapping[str, float]] | None = None, rounds: int = ROUNDS) -> DataFrame:
+    """bounded() for any number of cells: the table with a column x, the probability before its cut at 1.
+
+    A value's multiplier is the ratio of its goal and what it keeps, which approaches the exact one from its own side.
+    """
+    spark = table.sparkSession
+    total = table.agg(F.sum("tokens")).first()[0] or 0.0
+    now = cut(table.withColumn("x", F.col("factor")))
+    goals = {}
+    for side in SIDES:
+        given = (targets or {}).get(side)
+        sizes = now.groupBy(F.col(side).alias("v")).agg(F.sum("tokens").alias("all"), F.sum(F.when(F.col("x") > 0, F.col("tokens")).otherwise(0.0)).alias("have"))
+        raw = sizes.withColumn("share", F.pow("all", F.lit(TEMPER))) if not given else sizes.join(spark.createDataFrame(list(given.items()), "v string, share double"), "v")
+        goals[side] = cut(goals_frame(cut(raw.filter("share > 0").select("v", "have", "share")), keep * total))
+    for _ in range(rounds):
+        worst = 0.0
+        for side in SIDES:
+            kept = now.groupBy(F.col(side).alias("h")).agg(F.sum(F.col("tokens") * F.least(F.lit(1.0), "x")).alias("kept"))
+            step = cut(kept.join(goals[side], F.col("h") == F.col("v"), "left").select("h", F.when(F.col("kept") > 0, F.coalesce("goal", F.lit(0.0)) / F.col("kept")).otherwise(0.0).alias("step"), F.abs(F.col("kept") - F.coalesce("goal", F.lit(0.0))).alias("off")))
+            now = now.join(step.select("h", "step"), F.col(side) == F.col("h")).withColumn("x", F.col("x") * F.col("step")).drop("h", "step")
+            worst = max(worst, step.agg(F.max("off")).first()[0] or 0.0)
+        now = cut(now)
+        if worst < CLOSE * total:
+            break
+    return now
+
+
+def goals_frame(raw: DataFrame, asked: float) -> DataFrame:
+    """bounded_goals() of (v, have, share): v and goal. Values whose tokens run out first come first; a round settles those that do."""
+    level = 0.0
+    while True:
+        # Values with have <= level * share are whole; the level rises until what is left goes by shares.
+        whole = F.col("have") <= level * F.col("share")
+        settled, left = raw.agg(F.sum(F.when(whole, F.col("have"))), F.sum(F.when(~whole, F.col("share")))).first()
+        if not left:
+            break
+        above = max(0.0, asked - (settled or 0.0)) / left
+        if above <= level * (1 + 1e-15):
+            break
+        level = above
+    return raw.select("v", F.least(F.col("have"), level * F.col("share")).alias("goal"))
+
+
 def rake_frames(table: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, rounds: int = ROUNDS) -> DataFrame:
     """rake() for any number of cells: the table with a column factor. Lineage is cut in each round."""
     spark = table.sparkSession
@@ -137,14 +240,15 @@ def probabilities(rows: DataFrame, targets: Mapping[str, Mapping[str, float]] |
     if n <= most:
         got = table.orderBy(*SIDES).collect()  # most rows at most, as counted
         tokens = np.array([r.tokens for r in got], float)
-        factor = rake([tuple(r[s] for s in SIDES) for r in got], tokens, targets)
-        by = scale(tokens, factor, keep)
-        made = [(*(r[s] for s in SIDES), r.tokens, float(f)) for r, f in zip(got, factor)]
-        out = spark.createDataFrame(made, "source string, lang string, topic string, tokens double, factor double")
+        names = [tuple(r[s] for s in SIDES) for r in got]
+        factor = rake(names, tokens, targets)
+        p = bounded(names, tokens, factor, keep, targets)
+        made = [(*n, r.tokens, float(f), float(x)) for n, r, f, x in zip(names, got, factor, p)]
+        out = spark.createDataFrame(made, "source string, lang string, topic string, tokens double, factor double, probability double")
     else:
-        out = rake_frames(table, targets)
-        by = scale_frames(out, keep)
-    out = out.withColumn("probability", F.least(F.lit(1.0), F.col("factor") * by))
+        raked = bounded_frames(rake_frames(table, targets), keep, targets)
+        by = scale_frames(raked.select("tokens", F.col("x").alias("factor")), keep)
+        out = raked.withColumn("probability", F.least(F.lit(1.0), F.col("x") * by)).drop("x")
     return F.broadcast(out) if n <= BROADCAST else out
 
 

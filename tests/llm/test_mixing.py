@@ -53,3 +53,28 @@ def test_rows(spark):
     words = got[got.doc_id == 0].n_tokens.iloc[0]
     text = docs.filter("doc_id = 0").first().text
     assert words == len(text.split()) + 1
+
+
+def test_shares_meet_feasible_targets_at_the_kept_share():
+    r = np.random.default_rng(7)
+    names = [(s, l, t) for s in "abcdef" for l in ("de", "en", "es") for t in ("prose", "table", "numeric")]
+    tokens = np.array([{"a": 30, "b": 9, "c": 5, "d": 3, "e": 2, "f": 1}[s] * {"en": 6, "de": 2, "es": 1}[l] * {"prose": 20, "table": 2, "numeric": 0.5}[t] for s, l, t in names]) * r.uniform(0.5, 1.5, len(names))
+    p = M.bounded(names, tokens, M.rake(names, tokens), M.KEEP)
+    assert p.min() > 0 and p.max() == 1 and (tokens * p).sum() == pytest.approx(M.KEEP * tokens.sum())
+    for k in range(3):
+        values = sorted({n[k] for n in names})
+        at = np.array([values.index(n[k]) for n in names])
+        have, kept = np.bincount(at, tokens), np.bincount(at, tokens * p)
+        want = M.tempered(dict(zip(values, have)), M.TEMPER)
+        share = np.array([want[v] for v in values])
+        assert kept == pytest.approx(M.bounded_goals(have, share, M.KEEP * tokens.sum()), rel=1e-4)
+        free = kept < have * (1 - 1e-6)
+        assert free.any() and np.ptp((kept / share)[free]) < 1e-3 * (kept / share)[free].max()
+        assert (kept / share)[~free].max(initial=0) <= (kept / share)[free].max() * (1 + 1e-3)
+
+
+def test_bounded_frames_near_bounded_arrays(spark):
+    a = M.rake_frames(M.cells(M.placed(corpus(spark, 300).filter("source IS NOT NULL AND text <> ''"))), rounds=10).toPandas()
+    want = M.bounded([tuple(x) for x in a[list(M.SIDES)].to_numpy()], a.tokens.to_numpy(), a.factor.to_numpy(), 0.7)
+    got = M.bounded_frames(spark.createDataFrame(a), 0.7, rounds=6).toPandas().set_index(list(M.SIDES)).x.clip(upper=1)
+    assert got.loc[[tuple(x) for x in a[list(M.SIDES)].to_numpy()]].to_numpy() == pytest.approx(want, abs=0.03)
