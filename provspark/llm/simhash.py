@@ -69,23 +69,28 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return map_batches(keyed(docs).withColumn("digest", F.xxhash64("text")), ["doc_id", "text", "digest"], make, "doc_id long, fp long, digest long")
 
 
+def codewords() -> np.ndarray:
+    """The 4096 words of 23 bits of the code, by their 12 message bits."""
+    messages = np.arange(1 << 12, dtype=np.uint32)
+    rest = messages << 11
+    for bit in range(22, 10, -1):  # division by the polynomial leaves the check bits
+        rest = np.where(rest >> bit & 1, rest ^ np.uint32(POLYNOMIAL << bit - 11), rest)
+    return messages << 11 | rest
+
+
 class Golay:
     """Decoding tables: index[w] is the codeword nearest to word w, by its 12 message bits; far[w] tells whether it is 3 bits away."""
 
     def __init__(self) -> None:
-        messages = np.arange(1 << 12, dtype=np.uint32)
-        rest = messages << 11
-        for bit in range(22, 10, -1):  # division by the polynomial leaves the check bits
-            rest = np.where(rest >> bit & 1, rest ^ np.uint32(POLYNOMIAL << bit - 11), rest)
-        codewords = messages << 11 | rest
+        messages, words = np.arange(1 << 12, dtype=np.uint32), codewords()
         self.index, self.far = np.empty(1 << 23, np.uint16), np.zeros(1 << 23, bool)
         bits = [1 << i for i in range(23)]
         errors = [[0], bits, [x | y for i, x in enumerate(bits) for y in bits[:i]], [x | y | z for i, x in enumerate(bits) for j, y in enumerate(bits[:i]) for z in bits[:j]]]
         for weight, group in enumerate(errors):
             for e in group:
-                self.index[codewords ^ np.uint32(e)] = messages
+                self.index[words ^ np.uint32(e)] = messages
                 if weight == 3:
-                    self.far[codewords ^ np.uint32(e)] = True
+                    self.far[words ^ np.uint32(e)] = True
 
     def nearby(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Row numbers of words and the indices of their nearby codewords, each once."""
@@ -261,22 +266,3 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     prints = cut(fingerprints(docs).select("doc_id", "fp"))
     out = prints.join(classes(prints, block), "fp")
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """docs, with all their columns and only these, with one row of each component.
-
-    That is the row of the component's smallest doc_id; if rows share this doc_id, the first by
-    fingerprint and text digest; if they are the same in these too, one of them. A null doc_id comes
-    last. Whole texts are shuffled once, by doc_id and digest.
-    """
-    prints = cut(fingerprints(docs))
-    whole = prints.join(classes(prints, block).select(F.col("fp").alias("of"), F.col("component_id").alias("component")), F.col("fp") == F.col("of"))
-    # Of a component with doc_ids only their smallest counts; of one without, all rows do.
-    first = whole.filter(F.col("doc_id").eqNullSafe(F.col("component")))
-    # Components without any doc_id are told apart by their fingerprints' rows: each distinct digest stays.
-    group = [F.col("component"), F.when(F.col("component").isNull(), F.col("digest"))]
-    chosen = first.groupBy(*[c.alias(n) for c, n in zip(group, ("c", "d"))]).agg(F.min(F.struct("fp", "digest")).alias("x")).select(F.col("c").alias("_s_id"), F.col("x.digest").alias("_s_digest"))
-    marked = docs.withColumns({"_s_own": F.col("doc_id").cast("bigint"), "_s_text": F.xxhash64(F.col("text").cast("string"))})
-    kept = marked.join(chosen, F.col("_s_own").eqNullSafe(F.col("_s_id")) & (F.col("_s_text") == F.col("_s_digest")), "left_semi")
-    return kept.dropDuplicates(["_s_own", "_s_text"]).select(*[F.col(f"`{c}`") for c in docs.columns])

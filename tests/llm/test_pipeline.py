@@ -7,7 +7,8 @@ from collections import defaultdict
 import pytest
 
 import corpus_pipeline as P
-from provspark.llm import mixing, pii, quality, simhash
+from provspark.llm import mixing, pii, quality, similar
+from tests.llm.test_similar import brute
 from tests.llm.test_tokens_packing import single, whole
 
 
@@ -34,21 +35,11 @@ def test_stages(spark, folder):
     one = one.cache()
     two = P.near_dedup(spark, one, folder)
     rows = one.collect()
-    prints = [simhash.fingerprint((r.text or "").encode()) for r in rows]
-    up = list(range(len(rows)))
-
-    def root(i):
-        while up[i] != i:
-            i = up[i]
-        return i
-
-    for i in range(len(rows)):
-        for j in range(i):
-            if (prints[i] ^ prints[j]).bit_count() <= 3:
-                up[root(i)] = root(j)
+    # Five words and a Jaccard similarity of 0.8, by all pairs.
+    of = brute([frozenset(similar.shingles((r.text or "").encode()).tolist()) for r in rows])
     groups = defaultdict(list)
     for i, r in enumerate(rows):
-        groups[root(i)].append(r)
+        groups[of[i]].append(r)
     got = two.collect()
     assert two.columns == docs.columns and len(got) == len(groups)
     first = sorted(str(min((r.doc_id for r in g if r.doc_id is not None), default=None)) for g in groups.values())
