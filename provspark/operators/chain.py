@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from provspark.operators.graph import cut
+from provspark.operators.shared import cut
 
 
 def hops(chain: str, position: str) -> Window:
@@ -65,7 +65,7 @@ def lineage(df: DataFrame, start: Column, depth: int | None = None) -> DataFrame
 
 def doubled(now: DataFrame, links: DataFrame) -> DataFrame:
     """now, rows of depth 0, with all ancestors by links (child, parent), until a round finds no new pair."""
-    out, jump, far = now.checkpoint(), links.checkpoint(), 1
+    out, jump, far = cut(now), cut(links), 1
     have = out.count()
     while True:
         further = out.join(jump, F.col("content_id") == F.col("child")).select("origin", F.col("parent").alias("content_id"), (F.col("depth") + far).alias("depth"))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provspark.functions.scalars import iso_ms, nanos, vendor
 
 #: Span event names by node type.
 EVENT_NAMES = {"tool_call": "gen_ai.tool.call", "tool_result": "gen_ai.tool.result"}
+STEP_EVENT = "sif.trace.step"
 
 
 def spans(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -23,19 +24,22 @@ def spans(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     )
 
 
-def span_events(docs: DataFrame, nodes: DataFrame, most: int = 256) -> DataFrame:
-    """One event for each node, named by its type, with its text cut to most characters."""
+def span_events(docs: DataFrame, nodes: DataFrame, steps: DataFrame | None = None, most: int = 256) -> DataFrame:
+    """One event for each node, named by its type, with its whole text; and one for each trace step (as nodes), its text cut to most characters."""
     name = F.lit("gen_ai.content.completion")
     for kind, event in EVENT_NAMES.items():
         name = F.when(F.col("type") == kind, event).otherwise(name)
-    own = nodes.select(F.col("artifact_id").alias("_a"), "pos", "type", "mean", "text")
-    return docs.join(own, F.col("artifact_id") == F.col("_a")).select("artifact_id", "pos", name.alias("name"), nanos(F.col("timestamp_ms")).alias("time_ns"), F.col("type").alias("node_type"), F.col("mean").alias("confidence_mean"), F.substring("text", 1, most).alias("content"))
+    own = nodes.select(F.col("artifact_id").alias("_a"), "pos", name.alias("name"), "type", "mean", F.col("text").alias("content"))
+    if steps is not None:
+        own = own.unionByName(steps.select(F.col("artifact_id").alias("_a"), "pos", F.lit(STEP_EVENT).alias("name"), "type", "mean", F.substring("text", 1, most).alias("content")))
+    return docs.join(own, F.col("artifact_id") == F.col("_a")).select("artifact_id", "pos", "name", nanos(F.col("timestamp_ms")).alias("time_ns"), F.col("type").alias("node_type"), F.col("mean").alias("confidence_mean"), "content")
 
 
-def relations(docs: DataFrame, nodes: DataFrame, deps: DataFrame) -> DataFrame:
+def relations(docs: DataFrame, nodes: DataFrame, deps: DataFrame, steps: DataFrame | None = None, most: int = 512) -> DataFrame:
     """(artifact_id, relation, subject, object, detail) of the provenance model, all in one table.
 
-    docs: artifact_id, model, signer, timestamp_ms; nodes: artifact_id, id, type, text; deps: artifact_id, id, dep.
+    docs: artifact_id, model, signer, timestamp_ms; nodes: artifact_id, id, type, text, whole; deps: artifact_id, id, dep;
+    steps: artifact_id, id, type, text, of which most characters are kept: an entity and an activity each.
     """
     activity = F.concat(F.lit("inference/"), "model", F.lit("/"), F.col("timestamp_ms").cast("string"))
     agent, signer = F.concat(F.lit("agent/"), "model"), F.concat(F.lit("signer/"), F.substring("signer", 1, 16))
@@ -49,18 +53,27 @@ def relations(docs: DataFrame, nodes: DataFrame, deps: DataFrame) -> DataFrame:
         row(docs, "activity", activity, None, iso_ms(F.col("timestamp_ms"))),
         row(docs, "wasAssociatedWith", activity, agent),
         row(signed, "wasAssociatedWith", activity, signer),
-        row(met, "entity", node, None, F.substring("text", 1, 512)),
+        row(met, "entity", node, None, F.col("text")),
         row(met, "wasGeneratedBy", node, activity),
         row(met, "wasAttributedTo", node, agent),
         row(deps, "wasDerivedFrom", F.concat(F.lit("step/"), "id"), F.concat(F.lit("step/"), "dep")),
     ]
+    if steps is not None:
+        made, by = F.concat(F.lit("step/"), "id"), F.concat(F.lit("step_activity/"), "id")
+        at = steps.join(docs.select(F.col("artifact_id").alias("_a"), "timestamp_ms"), F.col("artifact_id") == F.col("_a"))
+        parts += [row(at, "entity", made, None, F.substring("text", 1, most)), row(at, "activity", by, None, iso_ms(F.col("timestamp_ms"))), row(at, "wasGeneratedBy", made, by)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
+def complete(docs: DataFrame, fields_of: Column, fields: list[str]) -> DataFrame:
+    """docs with present (how many of the fields of a struct are neither null nor ''), asked and complete."""
+    present = F.coalesce(sum((fields_of[f].isNotNull() & (fields_of[f].cast("string") != "")).cast("int") for f in fields), F.lit(0))
+    return docs.withColumns({"present": present, "asked": F.lit(len(fields)), "complete": present == len(fields)})
+
+
 def compliance(docs: DataFrame, fields: list[str], key: str = "artifact_id") -> DataFrame:
     """key, present (how many of the fields are neither null nor ''), asked and complete."""
-    present = sum(((F.col(f).isNotNull()) & (F.col(f).cast("string") != "")).cast("int") for f in fields)
-    return docs.select(key, F.coalesce(present, F.lit(0)).alias("present"), F.lit(len(fields)).alias("asked"), F.coalesce(present == len(fields), F.lit(False)).alias("complete"))
+    return complete(docs.select(key, F.struct(*fields).alias("_f")), F.col("_f"), fields).drop("_f")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from provspark.operators.shared import cut
+
 
 def duplicates(nodes: DataFrame) -> DataFrame:
     """(graph, id, n) of ids that occur more than once."""
@@ -18,12 +20,6 @@ def dangling(edges: DataFrame, nodes: DataFrame, exempt: str = "") -> DataFrame:
     return lost.filter(~F.col("dep").startswith(exempt)) if exempt else lost
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint that forgets the estimated size and the partitionings: from join to join, these would double in length."""
-    saved, spark = df.checkpoint()._jdf, df.sparkSession
-    return DataFrame(spark._jsparkSession.createDataFrame(saved.toJavaRDD(), saved.schema()), spark)
-
-
 def stuck(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(graph, id) of nodes on a cycle or depending on one: what is left after taking away, again and again, nodes without open deps.
 

@@ -26,11 +26,12 @@ def evaluate(docs: DataFrame, policy: Policy, crl: DataFrame | None = None) -> D
     """docs with failure_code, null if they pass, and allowed.
 
     docs: artifact_id, decode_error ('' if it decodes), signer (null if unsigned), key_status ('ok', 'revoked', 'unknown',
-    'invalid'), model, confidence (its average, null without nodes). crl: (signer).
-    Lists are joined, so they can be of any size; the optimizer broadcasts them if they are small.
+    'invalid'; null or anything else counts as invalid), model, confidence (its average, null without nodes). crl: (signer).
+    A policy that asks for a CRL without one is an error. Lists are joined, so they can be of any size; the optimizer broadcasts them if they are small.
     """
+    if policy.check_crl and crl is None:
+        raise ValueError("the policy asks for a revocation list, and there is none")
     out = docs
-    seen = F.lit(True)
     rules: list[tuple[Column, str]] = [
         (F.col("decode_error").contains("Checksum"), "TAMPERED"),
         (F.col("decode_error") != "", "FORMAT"),
@@ -39,8 +40,10 @@ def evaluate(docs: DataFrame, policy: Policy, crl: DataFrame | None = None) -> D
         rules.append((F.col("signer").isNull(), "UNSIGNED"))
     if policy.check_keys:
         bad = F.col("signer").isNotNull()
-        rules += [(bad & (F.col("key_status") == s), c) for s, c in (("revoked", "KEY_REVOKED"), ("unknown", "UNTRUSTED"), ("invalid", "SIGNATURE_INVALID"))]
-    if policy.check_crl and crl is not None:
+        rules += [(bad & (F.col("key_status") == s), c) for s, c in (("revoked", "KEY_REVOKED"), ("unknown", "UNTRUSTED"))]
+        # Whatever isn't known to be good is bad.
+        rules.append((bad & ~F.col("key_status").eqNullSafe(F.lit("ok")), "SIGNATURE_INVALID"))
+    if policy.check_crl:
         out = listed(out, crl, "signer", "_crl")
         rules.append((F.col("_crl"), "KEY_REVOKED"))
     if policy.allowed_models is not None:
@@ -54,7 +57,7 @@ def evaluate(docs: DataFrame, policy: Policy, crl: DataFrame | None = None) -> D
     code = F.lit(None).cast("string")
     for broken, name in reversed(rules):
         code = F.when(broken, name).otherwise(code)
-    return out.withColumns({"failure_code": code, "allowed": code.isNull() & seen}).drop("_crl", "_model", "_trusted")
+    return out.withColumns({"failure_code": code, "allowed": code.isNull()}).drop("_crl", "_model", "_trusted")
 
 
 def listed(df: DataFrame, names: DataFrame, column: str, flag: str) -> DataFrame:

@@ -304,8 +304,8 @@ def pq_gate_matrix(spark, d):
 
 
 POLICY_SQL = """p AS (SELECT doc_id AS artifact_id, source AS model, CASE WHEN doc_id % 19 = 0 THEN 'Checksum mismatch' WHEN doc_id % 23 = 0 THEN 'bad magic' ELSE '' END AS e, CASE WHEN doc_id % 5 <> 0 THEN 'key' || (doc_id % 12) END AS signer,
-CASE doc_id % 10 WHEN 1 THEN 'revoked' WHEN 2 THEN 'unknown' WHEN 3 THEN 'invalid' ELSE 'ok' END AS k, least(1, n_chars / 3000.0) AS c FROM documents),
-v AS (SELECT artifact_id, model, CASE WHEN e LIKE '%Checksum%' THEN 'TAMPERED' WHEN e <> '' THEN 'FORMAT' WHEN signer IS NULL THEN 'UNSIGNED' WHEN k = 'revoked' THEN 'KEY_REVOKED' WHEN k = 'unknown' THEN 'UNTRUSTED' WHEN k = 'invalid' THEN 'SIGNATURE_INVALID'
+CASE doc_id % 10 WHEN 1 THEN 'revoked' WHEN 2 THEN 'unknown' WHEN 3 THEN 'invalid' WHEN 4 THEN NULL WHEN 6 THEN 'odd' ELSE 'ok' END AS k, least(1, n_chars / 3000.0) AS c FROM documents),
+v AS (SELECT artifact_id, model, CASE WHEN e LIKE '%Checksum%' THEN 'TAMPERED' WHEN e <> '' THEN 'FORMAT' WHEN signer IS NULL THEN 'UNSIGNED' WHEN k = 'revoked' THEN 'KEY_REVOKED' WHEN k = 'unknown' THEN 'UNTRUSTED' WHEN coalesce(k, '') <> 'ok' THEN 'SIGNATURE_INVALID'
 WHEN signer IN ('key4', 'key9') THEN 'KEY_REVOKED' WHEN model NOT IN ('src0', 'src1', 'src2', 'src3', 'src4', 'src5') THEN 'POLICY_VIOLATION' WHEN signer NOT IN ('key1', 'key4', 'key6', 'key7', 'key8', 'key9', 'key10') THEN 'POLICY_VIOLATION' WHEN c < 0.3 THEN 'POLICY_VIOLATION' END AS failure_code FROM p)"""
 
 
@@ -313,7 +313,7 @@ def gated(spark: SparkSession, d: str) -> DataFrame:
     i = F.col("doc_id")
     docs = table(spark, d, "documents").select(
         i.alias("artifact_id"), F.col("source").alias("model"), F.when(i % 19 == 0, "Checksum mismatch").when(i % 23 == 0, "bad magic").otherwise("").alias("decode_error"), F.when(i % 5 != 0, F.concat(F.lit("key"), (i % 12).cast("string"))).alias("signer"),
-        F.when(i % 10 == 1, "revoked").when(i % 10 == 2, "unknown").when(i % 10 == 3, "invalid").otherwise("ok").alias("key_status"), F.least(F.lit(1.0), F.col("n_chars") / 3000).alias("confidence"),
+        F.when(i % 10 == 1, "revoked").when(i % 10 == 2, "unknown").when(i % 10 == 3, "invalid").when(i % 10 == 6, "odd").when(i % 10 != 4, "ok").alias("key_status"), F.least(F.lit(1.0), F.col("n_chars") / 3000).alias("confidence"),
     )
     one = lambda name, values: spark.createDataFrame([(v,) for v in values], f"{name} string")
     rules = policy.Policy(True, True, True, one("model", [f"src{k}" for k in range(6)]), one("signer", [f"key{k}" for k in (1, 4, 6, 7, 8, 9, 10)]), 0.3)
@@ -336,13 +336,17 @@ f AS (SELECT chain_id, pos, user_id, 'e' || CASE WHEN user_id % 11 = 5 AND pos >
 CASE WHEN pos = 0 THEN [] WHEN user_id % 13 = 6 THEN ['e' || (event_id - 1), 'e' || (event_id - 1)] ELSE ['e' || (event_id - 1)] END AS parent_ids, user_id % 9 <> 4 AS signed FROM e)"""
 
 
-@query(f"""WITH RECURSIVE {GOV_SQL},
+#: Each chain folded event by event.
+FOLD_SQL = f"""WITH RECURSIVE {GOV_SQL},
 r AS (SELECT chain_id, -1 AS pos, CAST([] AS VARCHAR[]) AS kept, CAST([] AS INTEGER[]) AS kinds, false AS decided, '' AS event_id, '' AS reason FROM (SELECT DISTINCT chain_id FROM f)
 UNION ALL SELECT n.chain_id, n.pos, CASE WHEN n.reason = 'verified' THEN list_append(n.kept, n.event_id) ELSE n.kept END, CASE WHEN n.reason = 'verified' THEN list_append(n.kinds, n.kind) ELSE n.kinds END, n.decided OR (n.reason = 'verified' AND n.kind = 1), n.event_id, n.reason FROM (
 SELECT f.chain_id, CAST(f.pos AS INTEGER) AS pos, r.kept, r.kinds, r.decided, f.event_id, k.kind, CASE WHEN NOT f.signed THEN 'invalid_signature' WHEN list_contains(r.kept, f.event_id) THEN 'duplicate_event_id'
 WHEN (k.kind = 1 AND (len(f.parent_ids) > 0 OR r.decided)) OR (k.kind > 1 AND len(f.parent_ids) = 0) THEN 'invalid_root' WHEN len(list_distinct(f.parent_ids)) < len(f.parent_ids) THEN 'duplicate_parent'
 WHEN NOT list_has_all(r.kept, f.parent_ids) THEN 'missing_parent' WHEN len(f.parent_ids) > 0 AND r.kinds[list_position(r.kept, f.parent_ids[1])] >= k.kind THEN 'parent_order' ELSE 'verified' END AS reason
-FROM r JOIN f ON f.chain_id = r.chain_id AND f.pos = r.pos + 1 JOIN (SELECT unnest(['Decision', 'Evidence', 'PolicyEvaluation', 'Review', 'Action', 'Outcome']) AS t, unnest([1, 2, 3, 4, 5, 6]) AS kind) k ON k.t = f.event_type) n)
+FROM r JOIN f ON f.chain_id = r.chain_id AND f.pos = r.pos + 1 JOIN (SELECT unnest(['Decision', 'Evidence', 'PolicyEvaluation', 'Review', 'Action', 'Outcome']) AS t, unnest([1, 2, 3, 4, 5, 6]) AS kind) k ON k.t = f.event_type) n)"""
+
+
+@query(f"""{FOLD_SQL}
 SELECT chain_id, pos::BIGINT AS pos, event_id, reason = 'verified' AS valid, reason FROM r WHERE pos >= 0""")
 def governance_chain(spark, d):
     return policy.governed(governance_events(spark, d)).select("chain_id", "pos", "event_id", "valid", "reason")
@@ -388,7 +392,9 @@ def governance_types(spark, d):
     return governance_events(spark, d).groupBy("chain_id").agg(F.count(F.lit(1)).alias("n_types"), F.countDistinct("event_type").alias("kinds"), F.count_if(~F.col("signature_ok")).alias("unsigned"))
 
 
-@query()
+@query(f"""{FOLD_SQL},
+z AS (SELECT chain_id, count(*) FILTER (pos >= 0) AS events, count(*) FILTER (pos >= 0 AND reason <> 'verified') AS failures, max_by(kinds, pos) AS kinds FROM r GROUP BY chain_id)
+SELECT chain_id, events, failures, failures = 0 AS trust_valid, failures = 0 AND list_sort(kinds) = [1, 2, 3, 4, 5, 6] AS complete FROM z""")
 def governance_summary(spark, d):
     return policy.chain_summary(policy.governed(governance_events(spark, d)))
 
@@ -398,7 +404,11 @@ def replay_single(spark, d):
     return replay.single(table(spark, d, "events"), "user_id", "props", "event_id").select("event_id", "replay")
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT event_id AS arrival, props AS nonce, CASE event_id % 4 WHEN 0 THEN ['nobody'] WHEN 1 THEN [event_type] ELSE [event_type, CAST(user_id % 3 AS VARCHAR)] END AS signers FROM events),
+o AS (SELECT *, row_number() OVER (PARTITION BY nonce ORDER BY arrival) AS k FROM e WHERE coalesce(nonce, '') <> ''),
+r AS (SELECT DISTINCT nonce, 0::BIGINT AS k, CAST([] AS VARCHAR[]) AS seen, NULL::BIGINT AS arrival, '' AS status FROM o
+UNION ALL SELECT o.nonce, o.k, CASE WHEN list_has_any(r.seen, o.signers) THEN r.seen ELSE list_concat(r.seen, o.signers) END, o.arrival, CASE WHEN list_has_any(r.seen, o.signers) THEN 'replay' ELSE 'fresh' END FROM r JOIN o ON o.nonce = r.nonce AND o.k = r.k + 1)
+SELECT arrival, nonce, status FROM r WHERE k > 0 UNION ALL SELECT arrival, nonce, 'no_nonce' FROM e WHERE coalesce(nonce, '') = ''""")
 def replay_several(spark, d):
     signers = F.when(F.col("event_id") % 4 == 0, F.array().cast("array<string>")).when(F.col("event_id") % 4 == 1, F.array(F.col("event_type"))).otherwise(F.array(F.col("event_type"), (F.col("user_id") % 3).cast("string")))
     return replay.several(table(spark, d, "events").select(F.col("event_id").alias("arrival"), F.col("props").alias("nonce"), signers.alias("signers"))).select("arrival", "nonce", "status")
@@ -488,6 +498,11 @@ def conversation_docs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame
     return docs, nodes
 
 
+def trace_steps(nodes: DataFrame) -> DataFrame:
+    """All turns but the first as steps of a trace."""
+    return nodes.filter("pos > 0").withColumn("type", F.lit("inference"))
+
+
 CONV_SQL = """d AS (SELECT DISTINCT conv_id AS artifact_id, ['Claude-x', 'gpt-y', 'Gemini-z', 'llama-3', 'other'][conv_id % 5 + 1] AS model, ['anthropic', 'openai', 'google_ai_studio', 'meta', 'custom'][conv_id % 5 + 1] AS system, 1700000000000 + conv_id AS timestamp_ms, CASE WHEN conv_id % 4 = 0 THEN 'signer-of-conversation-' || conv_id END AS signer FROM conversations),
 n AS (SELECT conv_id AS artifact_id, turn AS pos, 'n' || turn AS id, ['text', 'tool_call', 'tool_result'][turn % 3 + 1] AS type, coalesce(text, '') AS text, 1.0::DOUBLE / (turn + 1) AS mean, conv_id % 3 = 0 AS is_error, 'c' || turn AS call_id FROM conversations)"""
 
@@ -498,19 +513,22 @@ def otel_spans(spark, d):
     return export.spans(*conversation_docs(spark, d)).withColumn("confidence_mean_avg", F.round("confidence_mean_avg", 6))
 
 
-@query(f"""WITH {CONV_SQL} SELECT artifact_id, pos, CASE type WHEN 'tool_call' THEN 'gen_ai.tool.call' WHEN 'tool_result' THEN 'gen_ai.tool.result' ELSE 'gen_ai.content.completion' END AS name, timestamp_ms * 1000000 AS time_ns, type AS node_type, mean AS confidence_mean, substr(text, 1, 256) AS content FROM d JOIN n USING (artifact_id)""")
+@query(f"""WITH {CONV_SQL} SELECT artifact_id, pos, CASE type WHEN 'tool_call' THEN 'gen_ai.tool.call' WHEN 'tool_result' THEN 'gen_ai.tool.result' ELSE 'gen_ai.content.completion' END AS name, timestamp_ms * 1000000 AS time_ns, type AS node_type, mean AS confidence_mean, text AS content FROM d JOIN n USING (artifact_id)
+UNION ALL SELECT artifact_id, pos, 'sif.trace.step', timestamp_ms * 1000000, 'inference', mean, substr(text, 1, 256) FROM d JOIN n USING (artifact_id) WHERE pos > 0""")
 def otel_events(spark, d):
-    return export.span_events(*conversation_docs(spark, d))
+    docs, nodes = conversation_docs(spark, d)
+    return export.span_events(docs, nodes, trace_steps(nodes))
 
 
 @query(f"""WITH {CONV_SQL}, x AS (SELECT *, 'inference/' || model || '/' || timestamp_ms AS activity, 'agent/' || model AS agent, 'signer/' || substr(signer, 1, 16) AS who, strftime(make_timestamp(timestamp_ms * 1000), '%Y-%m-%dT%H:%M:%S.%gZ') AS iso FROM d), y AS (SELECT n.*, activity, agent FROM n JOIN x USING (artifact_id))
 SELECT artifact_id, 'agent' AS relation, agent AS subject, NULL AS object, 'SoftwareAgent' AS detail FROM x UNION ALL SELECT artifact_id, 'agent', who, NULL, 'Person' FROM x WHERE signer IS NOT NULL UNION ALL SELECT artifact_id, 'activity', activity, NULL, iso FROM x
-UNION ALL SELECT artifact_id, 'wasAssociatedWith', activity, agent, '' FROM x UNION ALL SELECT artifact_id, 'wasAssociatedWith', activity, who, '' FROM x WHERE signer IS NOT NULL UNION ALL SELECT artifact_id, 'entity', 'node/' || id, NULL, substr(text, 1, 512) FROM y
-UNION ALL SELECT artifact_id, 'wasGeneratedBy', 'node/' || id, activity, '' FROM y UNION ALL SELECT artifact_id, 'wasAttributedTo', 'node/' || id, agent, '' FROM y UNION ALL SELECT artifact_id, 'wasDerivedFrom', 'step/' || id, 'step/n' || (pos - 1), '' FROM y WHERE pos > 0""")
+UNION ALL SELECT artifact_id, 'wasAssociatedWith', activity, agent, '' FROM x UNION ALL SELECT artifact_id, 'wasAssociatedWith', activity, who, '' FROM x WHERE signer IS NOT NULL UNION ALL SELECT artifact_id, 'entity', 'node/' || id, NULL, text FROM y
+UNION ALL SELECT artifact_id, 'wasGeneratedBy', 'node/' || id, activity, '' FROM y UNION ALL SELECT artifact_id, 'wasAttributedTo', 'node/' || id, agent, '' FROM y UNION ALL SELECT artifact_id, 'wasDerivedFrom', 'step/' || id, 'step/n' || (pos - 1), '' FROM y WHERE pos > 0
+UNION ALL SELECT artifact_id, 'entity', 'step/' || id, NULL, substr(text, 1, 512) FROM y WHERE pos > 0 UNION ALL SELECT artifact_id, 'activity', 'step_activity/' || id, NULL, iso FROM y JOIN x USING (artifact_id) WHERE pos > 0 UNION ALL SELECT artifact_id, 'wasGeneratedBy', 'step/' || id, 'step_activity/' || id, '' FROM y WHERE pos > 0""")
 def prov_relations(spark, d):
     docs, nodes = conversation_docs(spark, d)
     deps = nodes.filter("pos > 0").select("artifact_id", "id", F.concat(F.lit("n"), (F.col("pos") - 1).cast("string")).alias("dep"))
-    return export.relations(docs, nodes, deps)
+    return export.relations(docs, nodes, deps, trace_steps(nodes))
 
 
 @query("SELECT doc_id, CAST(coalesce(text, '') <> '' AS INT) + CAST(coalesce(lang, '') <> '' AS INT) + CAST(coalesce(source, '') <> '' AS INT) + CAST(n_chars IS NOT NULL AS INT) AS present, 4 AS asked, coalesce(text, '') <> '' AND coalesce(lang, '') <> '' AND coalesce(source, '') <> '' AND n_chars IS NOT NULL AS complete FROM documents")

@@ -3,6 +3,8 @@
 import math
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from provspark.functions import scalars as S
@@ -67,6 +69,15 @@ def test_policy_without_rules(spark):
     assert low.allowed  # no nodes count as certain
 
 
+def test_policy_fails_closed(spark):
+    rows = [("a", "", "s", None, "m", None), ("b", "", "s", "later", "m", None), ("c", "", "s", "ok", "m", None), ("d", "", None, None, "m", None)]
+    docs = spark.createDataFrame(rows, "artifact_id string, decode_error string, signer string, key_status string, model string, confidence double")
+    got = {r.artifact_id: r.failure_code for r in policy.evaluate(docs, policy.Policy(check_keys=True)).collect()}
+    assert got == {"a": "SIGNATURE_INVALID", "b": "SIGNATURE_INVALID", "c": None, "d": "UNSIGNED"}
+    with pytest.raises(ValueError):
+        policy.evaluate(docs, policy.Policy(check_crl=True))
+
+
 def test_recorded_calls(spark):
     rows = [(1, [("f", "c1")], [("r", "c1")], "text", ["first", "second"]), (2, [], [], "text", [])]
     df = spark.createDataFrame(rows, "id int, calls array<struct<name: string, call_id: string>>, results array<struct<content: string, call_id: string>>, text string, thoughts array<string>")
