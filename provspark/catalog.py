@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from provspark.plans import artifacts, relational  # noqa: F401  they register their queries
+from provspark.plans import artifacts, formats, relational  # noqa: F401  they register their queries
 from provspark.plans.registry import QUERIES, SQL, Query
 
 

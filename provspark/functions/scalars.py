@@ -121,6 +121,17 @@ def ref_node(ref: Column) -> Column:
     return F.when(is_cross(ref), F.substr(ref, F.instr(ref, F.lit("#")) + 1))
 
 
+def slug(key: Column) -> Column:
+    """A key as a file name: all but ASCII letters, digits and -_.~ percent-encoded."""
+    return F.replace(F.replace(F.replace(F.url_encode(key), F.lit("+"), F.lit("%20")), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
+def vector_fingerprint(vector: Column) -> Column:
+    """16 hexadecimal digits of the first 32 numbers in thousandths, modulo 256."""
+    one = lambda x: F.lpad(F.hex((x.cast("double") * 1000).cast("bigint").bitwiseAND(255)), 2, "0")
+    return F.substring(F.sha2(F.unhex(F.array_join(F.transform(F.slice(vector, 1, 32), one), "")), 256), 1, 16)
+
+
 def named_value(option: Column) -> tuple[Column, Column]:
     """Name and value of NAME=VALUE, split at the first '='; nulls without one."""
     has = option.contains("=")

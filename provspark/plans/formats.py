@@ -1,0 +1,144 @@
+"""Queries over spellings, lists and scalar expressions that no other query exercises."""
+
+from __future__ import annotations
+
+import base64
+
+import pyarrow as pa
+from pyspark.sql import functions as F
+
+from provspark.codec import artifact as A
+from provspark.codec import exchange, keys
+from provspark.functions import scalars
+from provspark.operators import export
+from provspark.operators.shared import folder
+from provspark.plans.artifacts import NAMED, PUBLIC, built, documents_of
+from provspark.plans.registry import query, table
+from provspark.sources import artifacts as S
+from provspark.sources import lists
+from provspark.sources.datasource import form_of, register
+
+
+@query("""SELECT CAST(conv_id AS VARCHAR) AS artifact_id, conv_id % 6 <> 5 AND conv_id % 2 = 0 AS ok, CASE WHEN conv_id % 6 = 5 THEN 'checksum' WHEN conv_id % 2 = 1 THEN 'signature' ELSE '' END AS error_class FROM (SELECT DISTINCT conv_id FROM conversations)""")
+def artifact_files_strict(spark, d):
+    """Written as files to the folder that the cluster shares, and read from there by a reader that wants signatures."""
+    import uuid
+
+    register(spark)
+    path = f"{folder(spark)}/files-{uuid.uuid4().hex}"
+    S.write_files(built(spark, d), path)
+    rows = S.read(spark, path, require_signature=True)
+    return rows.select(F.regexp_extract("artifact_id", r"([^/]*)$", 1).alias("artifact_id"), F.col("decode.ok").alias("ok"), F.col("decode.error_class").alias("error_class"))
+
+
+def respelled(spark, d, f, schema: pa.Schema, spark_schema: str):
+    """f of each artifact that decodes."""
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for k, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                try:
+                    doc = A.decode(data)
+                except A.Invalid:
+                    continue
+                out.append({"artifact_id": k} | f(doc, data))
+            yield pa.RecordBatch.from_pylist(out, schema=schema)
+
+    return built(spark, d).mapInArrow(run, spark_schema)
+
+
+@query("""SELECT CAST(conv_id AS VARCHAR) AS artifact_id, true AS json, true AS msgpack, true AS tampered, count(*) AS n_nodes FROM conversations WHERE conv_id % 6 <> 5 GROUP BY conv_id""")
+def respelling_roundtrip(spark, d):
+    """Complete JSON and MessagePack, there and back; and whether a changed checksum is noticed."""
+
+    def f(doc: dict, data: bytes) -> dict:
+        def noticed(read, text) -> bool:
+            try:
+                read(text)
+            except exchange.Mismatch:
+                return True
+            return False
+
+        text, packed = exchange.to_json(doc), exchange.to_msgpack(doc)
+        again = exchange.from_json(text)
+        return {"json": again == doc, "msgpack": exchange.from_msgpack(packed) == doc, "tampered": noticed(exchange.from_json, text.replace('"n0"', '"nX"', 1)), "n_nodes": len(again["payload"])}
+
+    schema = pa.schema([("artifact_id", pa.string()), ("json", pa.bool_()), ("msgpack", pa.bool_()), ("tampered", pa.bool_()), ("n_nodes", pa.int64())])
+    return respelled(spark, d, f, schema, "artifact_id string, json boolean, msgpack boolean, tampered boolean, n_nodes long")
+
+
+@query("""SELECT CAST(conv_id AS VARCHAR) AS artifact_id, packing, true AS same_content, CASE packing WHEN '' THEN 0 WHEN 'zlib' THEN 1 ELSE 2 END AS flags2, count(*) AS n_nodes FROM conversations, (SELECT unnest(['', 'zlib', 'zstd']) AS packing) GROUP BY 1, 2""")
+def compression_roundtrip(spark, d):
+    """Artifacts in each packing: the content id is the same, the header names the packing."""
+    docs = documents_of(spark, d).select(F.col("conv_id").cast("string").alias("artifact_id"), "nodes", F.struct(F.lit("model").alias("source_model")).alias("provenance"), F.array().cast("array<string>").alias("signers"))
+    read = lambda how: S.decoded(S.simple_documents(docs, packing=how), "artifact_id", "content").select("artifact_id", F.lit(how).alias("packing"), "content_id", "flags2", F.size("payload").cast("bigint").alias("n_nodes"))
+    rows = read("").unionByName(read("zlib")).unionByName(read("zstd"))
+    same = rows.groupBy(F.col("artifact_id").alias("_a")).agg((F.countDistinct("content_id") == 1).alias("same_content"))
+    return rows.join(same, F.col("artifact_id") == F.col("_a")).select("artifact_id", "packing", "same_content", "flags2", "n_nodes")
+
+
+#: Items of the binary format and what its reader says of their form.
+FORMS = (("a2616101616202", "deterministic"), ("a2616201616101", "unsorted"), ("a2616101616102", "malformed"), ("1817", "lax"), ("17", "deterministic"), ("a161", "malformed"), ("9f01ff", "lax"), ("f93c00", "deterministic"))
+
+
+@query("SELECT doc_id, " + "[" + ", ".join(f"'{f}'" for _, f in FORMS) + f"][doc_id % {len(FORMS)} + 1] AS form FROM documents")
+def binary_forms(spark, d):
+    register(spark)
+    pick = F.element_at(F.array(*[F.lit(h) for h, _ in FORMS]), (F.col("doc_id") % len(FORMS) + 1).cast("int"))
+    return table(spark, d, "documents").select("doc_id", F.call_function("cbor_form", F.unhex(pick)).alias("form"))
+
+
+@query("""SELECT CAST(doc_id AS VARCHAR) AS path, CASE doc_id % 5 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END::BIGINT AS n_good, CASE doc_id % 5 WHEN 1 THEN 2 ELSE 0 END::BIGINT AS n_malformed, CASE doc_id % 5 WHEN 3 THEN 'unreadable' WHEN 4 THEN 'malformed' ELSE '' END AS error FROM documents""")
+def revocation_lists(spark, d):
+    """Lists of statements, some with malformed entries, an empty one, one that isn't JSON and one of a wrong shape."""
+    good = '{"artifact_digest":"ab","signer":"s","issued_ms":1,"reason":"retracted","signature":"AAAA"}'
+    texts = (f'{{"revocations":[{good},{good}]}}', f'{{"revocations":[{good},7,{good.replace("AAAA", "!")}]}}', '{"revocations":[]}', "{", '{"revocations":{}}')
+    rows = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.element_at(F.array(*[F.lit(t) for t in texts]), (F.col("doc_id") % 5 + 1).cast("int")).alias("text"))
+    return lists.statements(rows)[1]
+
+
+@query("""SELECT vec_id, substr(sha256(unhex(list_aggregate(list_transform(embedding[1:32], lambda x: lpad(to_hex((CAST(trunc(CAST(x AS DOUBLE) * 1000) AS BIGINT) % 256 + 256) % 256), 2, '0')), 'string_agg', ''))), 1, 16) AS fingerprint FROM embeddings""")
+def embedding_fingerprint(spark, d):
+    return table(spark, d, "embeddings").select("vec_id", scalars.vector_fingerprint(F.col("embedding")).alias("fingerprint"))
+
+
+@query("""SELECT event_id, repeat('█', CAST(round_even(m * 12, 0) AS INT)) || repeat('░', 12 - CAST(round_even(m * 12, 0) AS INT)) AS bar FROM (SELECT event_id, least(1, value / 500) AS m FROM events)""")
+def confidence_bars(spark, d):
+    return table(spark, d, "events").select("event_id", scalars.confidence_bar(F.least(F.lit(1.0), F.col("value") / 500)).alias("bar"))
+
+
+@query("SELECT doc_id, url_encode(source || ' ' || lang || '/*é+~_.-' || doc_id) AS slug FROM documents")
+def percent_slugs(spark, d):
+    return table(spark, d, "documents").select("doc_id", scalars.slug(F.concat("source", F.lit(" "), "lang", F.lit("/*é+~_.-"), F.col("doc_id").cast("string"))).alias("slug"))
+
+
+@query("""WITH RECURSIVE r AS (SELECT DISTINCT s_nationkey AS log, ['alice', 'bob', 'carol', 'clock', 'stranger'][s_suppkey % 5 + 1] AS o, ['alice', 'bob', 'carol', 'clock', 'stranger'][(s_suppkey + 1) % 5 + 1] AS n FROM supplier WHERE s_suppkey % 5 <> 4 AND s_suppkey % 7 <> 0),
+w AS (SELECT log, o AS signer, n AS now FROM r UNION ALL SELECT w.log, w.signer, r.n FROM w JOIN r ON r.log = w.log AND r.o = w.now)
+SELECT log, signer, max(now) AS successor FROM (SELECT * FROM w WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.log = w.log AND r.o = w.now)) GROUP BY 1, 2""")
+def key_rotation(spark, d):
+    """Logs of rotations: each key's last successor by records that both keys signed. One in seven records is signed by a wrong key."""
+    pick = lambda k: F.element_at(F.array(*[F.lit(n) for n in NAMED]), (k % 5 + 1).cast("int"))
+    k = F.col("s_suppkey")
+    rows = table(spark, d, "supplier").filter(k % 5 != 4).select(F.col("s_nationkey").alias("log"), pick(k).alias("old"), pick(k + 1).alias("new"), (k % 7 == 0).alias("forged"), k.alias("ts"))
+    schema = pa.schema([("log", pa.int32()), ("old_signer", pa.string()), ("superseded_by", pa.string()), ("timestamp_ms", pa.int64()), ("proof", pa.string()), ("new_key_proof", pa.string())])
+
+    def sign(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pylist([{"log": r["log"]} | keys.rotated(NAMED[r["old"]], NAMED["carol" if r["forged"] and r["new"] != "carol" else "bob" if r["forged"] else r["new"]], r["old"], r["new"], r["ts"]) for r in b.to_pylist()], schema=schema)
+
+    log = rows.mapInArrow(sign, "log int, old_signer string, superseded_by string, timestamp_ms long, proof string, new_key_proof string")
+    known = spark.createDataFrame([*PUBLIC.items()], "signer string, key_b64 string")
+    return lists.successors(log, known, "log").select("log", "signer", "successor")
+
+
+@query("""SELECT CAST(conv_id AS VARCHAR) AS artifact_id, round(avg(1.0::DOUBLE / (turn + 1)), 6) AS mean, count(*) AS n_lines FROM conversations WHERE conv_id % 6 <> 5 GROUP BY 1""")
+def rendered_documents(spark, d):
+    """Documents for people: as many node lines as nodes, with the confidences that they show."""
+
+    def f(doc: dict, data: bytes) -> dict:
+        heads = [x for x in exchange.rendered(doc).split("\n") if x.startswith("[text] n") and ("█" in x or "░" in x)]
+        return {"mean": sum(n["confidence"]["mean"] for n in doc["payload"]) / len(doc["payload"]), "n_lines": len(heads)}
+
+    rows = respelled(spark, d, f, pa.schema([("artifact_id", pa.string()), ("mean", pa.float64()), ("n_lines", pa.int64())]), "artifact_id string, mean double, n_lines long")
+    return rows.withColumn("mean", F.round("mean", 6))

@@ -130,6 +130,52 @@ def load_keys(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.call_function("url_decode", name).alias("signer"), F.base64("content").alias("key_b64"))
 
 
+def successors(log: DataFrame, known: DataFrame, by: str) -> DataFrame:
+    """by, signer and successor: the last key that follows a signer's, through records that both keys signed.
+
+    log: by, old_signer, superseded_by, timestamp_ms, proof, new_key_proof; known: (signer, key_b64). Proofs are checked where records
+    are; a log is then walked by one task, a record at most for each key. A ring ends where it began. Of records for one key the latest counts.
+    """
+    from provspark.codec import ed25519, keys
+
+    k = known.select("signer", "key_b64").dropDuplicates(["signer"])
+    met = log.join(k.select(F.col("signer").alias("old_signer"), F.col("key_b64").alias("_old")), "old_signer").join(k.select(F.col("signer").alias("superseded_by"), F.col("key_b64").alias("_new")), "superseded_by")
+    kind = log.schema[by].dataType.simpleString()
+
+    def good(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = [bool((old := ed25519.raw_key(r["_old"])) and (new := ed25519.raw_key(r["_new"])) and keys.rotation_ok(r, old, new)) for r in b.to_pylist()]
+            yield b.select([by, "old_signer", "superseded_by", "timestamp_ms"]).filter(pa.array(ok, pa.bool_()))
+
+    checked = met.select(by, "old_signer", "superseded_by", "timestamp_ms", "proof", "new_key_proof", "_old", "_new").mapInArrow(good, f"{by} {kind}, old_signer string, superseded_by string, timestamp_ms long")
+    last = checked.groupBy(by, "old_signer").agg(F.max(F.struct("timestamp_ms", "superseded_by"))["superseded_by"].alias("superseded_by"))
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def told(own, steps: dict[str, str]) -> pa.RecordBatch:
+            out = []
+            for start in steps:
+                seen, at = {start}, steps[start]
+                while at in steps and at not in seen:
+                    seen.add(at)
+                    at = steps[at]
+                out.append((own, start, at))
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(types)], names=[by, "signer", "successor"])
+
+        own, steps, types = None, {}, []
+        for b in batches:
+            types = [b.schema.field(by).type, pa.string(), pa.string()]
+            for r in b.to_pylist():
+                if r[by] != own and steps:
+                    yield told(own, steps)
+                    steps = {}
+                own = r[by]
+                steps[r["old_signer"]] = r["superseded_by"]
+        if steps:
+            yield told(own, steps)
+
+    return last.repartition(by).sortWithinPartitions(by).mapInArrow(walk, f"{by} {kind}, signer string, successor string")
+
+
 def revoked_names(text: str) -> list[str]:
     """Names of a revocation list in any of its spellings: an object with "revoked", any object, an array, or lines."""
     try:
