@@ -55,24 +55,68 @@ def test_scores_equal_plain_sums(spark):
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == w[:4]
         assert r.base_score == pytest.approx(w[4], rel=1e-9)
         assert r.perplexity == pytest.approx(10 ** (-r.score / r.n_tokens))
-    # The same model, added up word by word, and the sum of what may follow is 1.
+    check_model(rows, docs, got, train)
+    small = [r for r in got if r.held_out and r.n_tokens > 20]
+    assert sum(r.score for r in small) > sum(r.base_score for r in small)
+
+
+def check_model(rows, docs, got, train):
+    """Scores from classes alone: all counts are made anew in plain loops."""
     keyed = B.keyed(docs)
-    m = B.learn(keyed, B.word_counts(keyed), 8, 20)
-    assert (10**m.trans).sum(1) == pytest.approx(1)
-    of = lambda w: m.cls[m.index[w]] if w in m.index else m.first + B.shape(w)
-    by_class = Counter()
-    for w, c in train.items():
-        by_class[of(w)] += c + 0.1
-    assert all(t + 0.1 == pytest.approx(m.room[c]) for c, t in by_class.items())
+    m, beyond = B.learn(keyed, B.word_counts(keyed), 8, 20)
+    t = m.table
+    beyond = {bytes(r.word): (r.c, r.cls) for r in beyond.collect()}
+    held = {w: int(t.cls[i]) for w, i in t.index.items()}
+    assert len(held) <= 21 and set(held).isdisjoint(beyond) and {w for w, n in train.items() if n >= B.LEAST} <= held.keys() | beyond.keys()
+    assert all(c == train[w] for w, (c, _) in beyond.items())
+    of = lambda w: held[w] if w in held else beyond[w][1] if w in beyond else t.rare
+    after = lambda w: held.get(w, t.rare)
+    # Every word with two occurrences or more is clustered, none of the others.
+    assert all((of(w) < t.classes) == (n >= B.LEAST) for w, n in train.items() if w != B.END) and of(B.END) == t.end
+    pairs = np.zeros((t.many, t.many))
+    learnt = [B.tokens((x or "").encode()) for d, x in rows if not B.held_out(d)]
+    for words in learnt:
+        for a, b in zip([B.END, *words], words):
+            pairs[after(a), of(b)] += 1
+    room = np.zeros(t.many)
+    for w, n in train.items():
+        room[of(w)] += n + B.ADD
+    room[t.rare] += B.ADD
+    share = (pairs.sum(0) + B.ADD) / (pairs.sum() + B.ADD * t.many)
+    trans = (pairs + B.WEIGHT * share) / (pairs.sum(1, keepdims=True) + B.WEIGHT)
+    assert trans.sum(1) == pytest.approx(1)
     for r in got:
-        t = next(t for d, t in rows if d == r.doc_id)
-        total, before = 0.0, m.end
-        for w in B.tokens((t or "").encode()):
-            total += m.trans[before, of(w)] + math.log10((train[w] + 0.1) / m.room[of(w)])
-            before = of(w)
+        words = B.tokens((next(x for d, x in rows if d == r.doc_id) or "").encode())
+        total = sum(math.log10(trans[after(a), of(b)] * (train[b] + B.ADD) / room[of(b)]) for a, b in zip([B.END, *words], words))
         assert r.score == pytest.approx(total, rel=1e-9)
-    small = [r for r in got if r.held_out and r.n_tokens > 20]
-    assert sum(r.score for r in small) > sum(r.base_score for r in small)
+    # The last batch: every word beyond the dictionary is in the class that its left contexts make likeliest, given the dictionary's counts.
+    dense, left = np.zeros((t.many, t.many)), {}
+    for words in learnt:
+        for a, b in zip([B.END, *words], words):
+            if b in held:
+                dense[after(a), of(b)] += 1
+            else:
+                left.setdefault(b, Counter())[after(a)] += 1
+    share = (dense.sum(0) + B.ADD) / (dense.sum() + B.ADD * t.many)
+    logs = np.log10((dense + B.WEIGHT * share) / (dense.sum(1, keepdims=True) + B.WEIGHT)) - np.log10(dense.sum(0) + B.ADD)
+    for w, hs in left.items():
+        if train[w] >= B.LEAST:
+            gains = sum(n * logs[h, : t.classes] for h, n in hs.items())
+            assert gains[of(w)] == pytest.approx(gains.max())
+    assert len(left) > 100
+
+
+def test_numbers_of_words_equal_sparks(spark):
+    words = [b"", b"a", b"the", "\u00e9t\u00e9".encode(), b"x" * 100]
+    df = spark.createDataFrame([(w,) for w in words], "word binary").selectExpr("shiftrightunsigned(xxhash64(word), 9) AS w")
+    assert [r.w for r in df.collect()] == [B.number(w) for w in words]
+
+
+def test_frequent_words_fill_the_room(spark):
+    df = spark.createDataFrame([(b"w%d" % i, 7) for i in range(500)] + [(b"top", 90)], "word binary, n long")
+    got = B.frequent(df, 100)
+    assert got[0] == (b"top", 90) and 20 <= len(got) <= 100
+    assert len(B.frequent(df, 501)) == 501
 
 
 def test_empty(spark):
