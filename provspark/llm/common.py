@@ -28,16 +28,27 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """Compute df once and cut its lineage with a reliable checkpoint.
 
-    The folder is the one in spark.checkpoint.dir; only where that is unset, as in tests on one
-    machine, a temporary one is set.
+    The folder is shared().
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="checkpoint-"))
+        sc.setCheckpointDir(shared(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def shared(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Where that is unset, a temporary one on a single machine; on a cluster that is an error."""
+    given = spark.conf.get("spark.checkpoint.dir", "")
+    if not given and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is unset: a cluster needs a shared folder")
+    return given or tempfile.mkdtemp(prefix="checkpoint-")
+
+
+def nested(docs: DataFrame, *columns: str) -> DataFrame:
+    """row, all columns of docs in one, and besides some of them: whatever names docs has, none but these can clash with others."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *columns)
+
+
 def map_batches(df: DataFrame, columns: list[str], make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str) -> DataFrame:
     """Apply a function to Arrow batches of some columns; make() runs once in each task and returns it.
 

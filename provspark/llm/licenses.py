@@ -2,10 +2,14 @@
 
 Texts that differ in case, punctuation, white space, copyright lines or equivalent spellings have one
 canonical form, and its SHA-256 is looked up in a table of known licenses by a hash join. All of it is DataFrame
-functions. A document is matched as a whole, and so is each of its lines, since license notices mostly
-stand on a line of their own.
+functions. Known are complete licence texts (the short ones in license_texts, the long ones by digest) and one-sentence
+notices. A document is matched as a whole, and so is each of its lines, since notices mostly stand on a line of their own.
 
-Defined results: a null or blank text, or one of copyright lines alone, has the canonical form '' and no
+Case (A-Z), punctuation of ASCII and of typography, comment marks, white space and line breaks don't count. A copyright
+line is one that names a year, a sign or a name after the word or the sign, or says that all rights are reserved; "(c) You
+must retain" is an item of a list and stays.
+
+Defined results: very long texts are canonised whole, like any other; a null or blank text, or one of copyright lines alone, has the canonical form '' and no
 license; if several known texts share a digest, the first license_id by order is named; repeated rows
 repeat; an empty table gives an empty result; other columns are ignored.
 """
@@ -15,7 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provspark.llm.common import keyed
+from provspark.llm.common import cut, keyed
+from provspark.llm.license_texts import LONG, SHORT
 
 #: Equivalent spellings, as whole words of a canonical form.
 SPELLINGS = (("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("sublicence", "sublicense"), ("merchantibility", "merchantability"), ("noncommercial", "non commercial"), ("behaviour", "behavior"), ("favour", "favor"), ("organisation", "organization"), ("redistributions", "redistribution"), ("v", "version"), ("https", "http"))
@@ -38,16 +43,23 @@ KNOWN = (
     ("MPL-2.0", "This work is licensed under the Mozilla Public License, version 2.0."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
-#: What takes a line out: a copyright notice at its beginning, in lower case.
-COPYRIGHT = r"(^|\n)[ \t]*(copyright|\(c\)|©)[^\n]*"
+#: Typographic marks and blanks, each taken for a blank, besides the ASCII ones below.
+TYPOGRAPHY = "\u2018\u2019\u201a\u201b\u201c\u201d\u201e\u201f\u00ab\u00bb\u2039\u203a\u2010\u2011\u2012\u2013\u2014\u2015\u2212\u2022\u00b7\u2026\u00a0\u2003\u2009\u200b\u202f\u3000\ufeff\u00a9\u00a7"
+#: What takes a line out: a copyright notice, maybe behind a comment mark.
+WORD, SIGN, WHOSE, NAMES = r"([Cc]opyright|COPYRIGHT)", r"(\([cC]\)|\x{A9})", r"([0-9]{4}|<|\[|\{)", r"([A-Z][^\s]*[ \t\r]*){1,6}\z"
+COPYRIGHT = rf"^[ \t]*([/*#;%!<>|.-]+[ \t]*)?({WORD}[ \t:,]*({SIGN}|{WHOSE})|{WORD}[ \t:]+(by )?{NAMES}|{SIGN}[ \t]*({WHOSE}|{WORD})|{SIGN}[ \t]+{NAMES}|([Aa]ll [Rr]ights [Rr]eserved|ALL RIGHTS RESERVED)[.!]?[ \t\r*/#-]*\z)"
 #: ASCII that is neither a letter nor a digit nor the end of a line.
 MARKS = r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+"
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+FROM, TO = UPPER + TYPOGRAPHY, UPPER.lower() + " " * len(TYPOGRAPHY)
+#: Known texts up to which their digests are broadcast, so that documents stay where they are.
+BROADCAST = 100_000
 
 
 def canonical(text: Column) -> Column:
-    """Lower case (A-Z) without copyright lines; runs of MARKS are one blank; spellings agree. Lines stay apart."""
-    x = F.translate(F.coalesce(text.cast("string"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    x = F.regexp_replace(F.regexp_replace(x, COPYRIGHT, "\n"), MARKS, " ")
+    """Lower case (A-Z) without copyright lines; runs of marks are one blank; spellings agree. Lines stay apart."""
+    lines = F.filter(F.split(F.coalesce(text.cast("string"), F.lit("")), "\n"), lambda x: ~x.rlike(COPYRIGHT))
+    x = F.regexp_replace(F.translate(F.array_join(lines, "\n"), FROM, TO), MARKS, " ")
     # Two blanks between words and around lines, so that each word has one on either side to itself.
     x = F.concat(F.lit("  "), F.replace(F.replace(x, F.lit(" "), F.lit("  ")), F.lit("\n"), F.lit("  \n  ")), F.lit("  "))
     for old, new in SPELLINGS:
@@ -65,18 +77,28 @@ def line_digests(form: Column) -> Column:
     return F.filter(F.transform(F.split(form, "\n"), lambda x: F.when(F.trim(x) != "", F.sha2(F.trim(x).cast("binary"), 256))), lambda d: d.isNotNull())
 
 
+def texts() -> list[tuple[str, str]]:
+    """(license_id, text) of all known texts: notices, and the short licences with each title and without."""
+    return [*KNOWN, *((i, head + body) for i, titles, body in SHORT for head in ("", *(f"{t}\n\n" for t in titles)))]
+
+
 def known(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(KNOWN), "license_id string, text string")
+    """known, a digest, and license_id."""
+    given = spark.createDataFrame(texts(), "license_id string, text string").select(digest(canonical(F.col("text"))).alias("known"), "license_id")
+    return given.unionByName(spark.createDataFrame([(d, i) for i, _, d in LONG], "known string, license_id string"))
 
 
 def scan(docs: DataFrame, licenses: DataFrame | None = None) -> DataFrame:
     """doc_id, digest of the entire text, license_id if that is a known text, n_notices (lines that are one) and notices, their licenses joined by commas.
 
-    Texts are canonised once and never shuffled, only digests are. Which join it is, is left to the
-    optimizer, which knows the table's size; a frequent text or notice is a hot key of a join that it can split.
+    licenses: (license_id, text) instead of those that are known from the start. Texts are canonised once and never
+    shuffled. The known digests are counted and, up to BROADCAST of them, broadcast; beyond that digests are shuffled to them, and a
+    frequent text or notice is a hot key of a join that the optimizer can split.
     """
-    table = (known(docs.sparkSession) if licenses is None else licenses).select(digest(canonical(F.col("text"))).alias("known"), F.col("license_id").cast("string").alias("license_id"))
-    table = table.filter("known IS NOT NULL").groupBy("known").agg(F.min("license_id").alias("license_id"))
+    table = known(docs.sparkSession) if licenses is None else licenses.select(digest(canonical(F.col("text"))).alias("known"), F.col("license_id").cast("string").alias("license_id"))
+    table = cut(table.filter("known IS NOT NULL").groupBy("known").agg(F.min("license_id").alias("license_id")))
+    if table.count() <= BROADCAST:
+        table = F.broadcast(table)
     forms = keyed(docs).select(F.monotonically_increasing_id().alias("rid"), "doc_id", canonical(F.col("text")).alias("form"))
     # Position 0 is the whole text, the others are its lines.
     parts = forms.select("rid", "doc_id", F.posexplode(F.concat(F.array(digest(F.col("form"))), line_digests(F.col("form")))).alias("at", "d"))
@@ -93,20 +115,21 @@ def scan(docs: DataFrame, licenses: DataFrame | None = None) -> DataFrame:
 
 
 def sql() -> str:
-    """scan() of documents against KNOWN, for DuckDB."""
+    """scan() of documents against the known texts, for DuckDB."""
     quote = lambda x: "'" + x.replace("'", "''") + "'"
-    form = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-    form = f"regexp_replace(regexp_replace({form}, {quote(COPYRIGHT)}, chr(10), 'g'), {quote(MARKS)}, ' ', 'g')"
+    form = f"array_to_string(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: NOT regexp_matches(x, {quote(COPYRIGHT)})), chr(10))"
+    form = f"regexp_replace(translate({form}, {quote(FROM)}, {quote(TO)}), {quote(MARKS)}, ' ', 'g')"
     form = f"'  ' || replace(replace({form}, ' ', '  '), chr(10), '  ' || chr(10) || '  ') || '  '"
     for old, new in SPELLINGS:
         form = f"replace({form}, ' {old} ', ' {new} ')"
     form = f"regexp_replace({form}, ' +', ' ', 'g')"
     whole = "trim(regexp_replace(form, '[ \n]+', ' ', 'g'), ' ')"
-    rows = ", ".join(f"({quote(i)}, {quote(t)})" for i, t in KNOWN)
+    rows = ", ".join(f"({quote(i)}, {quote(t)})" for i, t in texts())
+    long = ", ".join(f"({quote(d)}, {quote(i)})" for i, _, d in LONG)
     return f"""
 WITH given(license_id, text) AS (VALUES {rows}),
 forms AS (SELECT license_id, {form} AS form FROM given),
-known AS (SELECT sha256({whole}) AS d, min(license_id) AS license_id FROM forms GROUP BY 1),
+known AS (SELECT d, min(license_id) AS license_id FROM (SELECT sha256({whole}) AS d, license_id FROM forms UNION ALL VALUES {long}) GROUP BY 1),
 docs AS (SELECT row_number() OVER () AS rid, doc_id, {form} AS form FROM documents),
 whole AS (SELECT rid, doc_id, CASE WHEN {whole} <> '' THEN sha256({whole}) END AS digest FROM docs),
 lines AS (SELECT rid, trim(unnest(string_split(form, chr(10))), ' ') AS line FROM docs),

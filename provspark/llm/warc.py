@@ -6,8 +6,9 @@ digest, and each has a block digest of its own. Record identifiers are name-base
 is derived again gets the same ones.
 
 Defined results: a null or empty page gives both records with an empty text; a null url an empty target; a
-record that isn't a response, or can't be read, gives one row with an error and nothing else; repeated
-rows repeat; an empty table gives an empty result; other columns are ignored.
+record that isn't a response, or can't be read (a size that is no number, a bad or cut chunk, a body in an encoding
+other than gzip, deflate and zstd), gives one row with an error and nothing else; repeated rows repeat; very long pages are
+handled whole, one at a time; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -15,12 +16,15 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import io
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -70,21 +74,49 @@ def headers_of(head: bytes) -> tuple[str, Headers]:
     return first.decode("utf-8", "replace"), Headers(out)
 
 
+NUMBER, HEX = re.compile(r"[0-9]{1,18}"), re.compile(rb"[0-9A-Fa-f]{1,15}")
+
+
+def size_of(headers: Headers) -> int:
+    if not NUMBER.fullmatch(size := headers.get("content-length", "")):
+        raise Unreadable("no content length")
+    return int(size)
+
+
+def inflated(data: bytes) -> tuple[bytes, str]:
+    """A file's bytes, and an error if it is gzipped (as a whole or by record) and broken after them."""
+    if data[:2] != b"\x1f\x8b":
+        return data, ""
+    out, error = [], ""
+    try:
+        with gzip.GzipFile(fileobj=io.BytesIO(data)) as f:
+            while part := f.read1(1 << 20):
+                out.append(part)
+    except (OSError, EOFError, zlib.error):
+        error = "the file can't be decompressed to its end"
+    return b"".join(out), error
+
+
 def records_of(data: bytes) -> Iterator[bytes]:
-    """The records of a WARC file, plain or gzipped (as a whole or by record), each with the blank lines that end it."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
+    """The records of a WARC file, plain or gzipped, each with the blank lines that end it. What can't be read raises after the records before it."""
+    data, error = inflated(data)
     at = 0
     while at < len(data):
         gap = data.find(NEWLINE * 2, at)
         if gap < 0:
+            if data[at:].strip():
+                raise Unreadable(error or "the last record is cut short")
             break
-        size = headers_of(data[at:gap])[1].get("content-length", "")
-        if not size.isdigit():
-            raise Unreadable("no content length")
-        end = gap + 4 + int(size) + 4
-        yield data[at:end]
-        at = end
+        first, headers = headers_of(data[at:gap])
+        if not first.startswith("WARC/"):
+            raise Unreadable("not a WARC record")
+        end = gap + 4 + size_of(headers)
+        if end > len(data):
+            raise Unreadable(error or "the last record is cut short")
+        yield data[at : end + 4]
+        at = end + 4
+    if error:
+        raise Unreadable(error)
 
 
 def parsed(data: bytes) -> tuple[Headers, Headers, bytes]:
@@ -95,35 +127,46 @@ def parsed(data: bytes) -> tuple[Headers, Headers, bytes]:
         raise Unreadable("not a WARC record")
     if headers.get("warc-type") != "response":
         raise Unreadable("not a response")
-    size = headers.get("content-length", "")
-    if not size.isdigit() or int(size) > len(rest):
+    if (size := size_of(headers)) > len(rest):
         raise Unreadable("cut short")
-    message, gap, body = rest[: int(size)].partition(NEWLINE * 2)
+    message, gap, body = rest[:size].partition(NEWLINE * 2)
     status, http = headers_of(message)
     if not gap or not status.startswith("HTTP/"):
         raise Unreadable("no HTTP message")
-    if "chunked" in http.get("transfer-encoding", "").lower():
-        body = unchunked(body)
+    codings = [c.strip() for n in ("content-encoding", "transfer-encoding") for k, v in http.pairs if k == n for c in v.lower().split(",")]
+    for c in reversed([c for c in codings if c not in ("", "identity")]):
+        body = uncoded(body, c)
+    return headers, Headers([(":status", status), *http.pairs]), body
+
+
+def uncoded(body: bytes, coding: str) -> bytes:
     try:
-        if http.get("content-encoding", "").lower() in ("gzip", "deflate"):
-            body = zlib.decompress(body, 47 if http["content-encoding"].lower() == "gzip" else 15)
-    except zlib.error as e:
+        if coding == "chunked":
+            return unchunked(body)
+        if coding in ("gzip", "x-gzip"):
+            return zlib.decompress(body, 31)
+        if coding == "deflate":  # by the standard with a zlib head, by some servers without one
+            return zlib.decompress(body, 15 if body[:1] and body[0] & 15 == 8 and int.from_bytes(body[:2], "big") % 31 == 0 else -15)
+        if coding == "zstd":
+            return zstandard.ZstdDecompressor().decompressobj().decompress(body)
+    except (zlib.error, zstandard.ZstdError) as e:
         raise Unreadable("the body can't be decompressed") from e
-    return headers, Headers([(":status", status), *http.pairs]), body
+    raise Unreadable(f"the body is in an unknown encoding, {coding}")
 
 
 def unchunked(body: bytes) -> bytes:
     out, at = [], 0
     while (end := body.find(NEWLINE, at)) >= 0:
-        try:
-            n = int(body[at:end].partition(b";")[0], 16)
-        except ValueError as e:
-            raise Unreadable("a bad chunk") from e
-        out.append(body[end + 2 : end + 2 + n])
-        at = end + 2 + n + 2
+        if not HEX.fullmatch(size := body[at:end].partition(b";")[0].strip()):
+            raise Unreadable("a bad chunk")
+        n, begin = int(size, 16), end + 2
         if not n:
+            return b"".join(out)
+        if begin + n > len(body):
             break
-    return b"".join(out)
+        out.append(body[begin : begin + n])
+        at = begin + n + 2
+    raise Unreadable("chunks are cut short")
 
 
 class Page(HTMLParser):
@@ -236,13 +279,32 @@ def responses(pages: DataFrame, date: str = DATE) -> DataFrame:
 
 
 def split_files(files: DataFrame, column: str = "content") -> DataFrame:
-    """Column record, one row for each record of whole WARC files, as from the binaryFile source."""
-    schema = pa.schema([("record", pa.binary())])
+    """record and error, one row for each record of whole WARC files, as from the binaryFile source, which takes files of up to 2 GB.
 
-    def make():
-        return lambda rows: batch(schema, record=[r for data in rows.column(0).to_pylist() if data for r in records_of(data)])
+    A file that can't be read to its end gives its records up to there, and a row with the error and no record.
+    """
+    schema = pa.schema([("record", pa.binary()), ("error", pa.string())])
 
-    return map_batches(files.select(column), [column], make, "record binary")
+    def rows_of(data: bytes | None) -> Iterator[tuple[bytes | None, str | None]]:
+        try:
+            for r in records_of(data or b""):
+                yield r, None
+        except Unreadable as e:
+            yield None, str(e)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for data in b.column(0):
+                made, size = [], 0
+                for r, error in rows_of(data.as_py()):
+                    made.append((r, error))
+                    size += len(r or b"")
+                    if size > 8 << 20:
+                        yield batch(schema, record=[x for x, _ in made], error=[x for _, x in made])
+                        made, size = [], 0
+                yield batch(schema, record=[x for x, _ in made], error=[x for _, x in made])
+
+    return files.select(F.col(column).cast("binary").alias("content")).mapInArrow(run, "record binary, error string")
 
 
 def derivatives(records: DataFrame, column: str = "record", key: str | None = None) -> DataFrame:
