@@ -119,12 +119,15 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> dict[int, np.ndarr
 
 
 def ranked(cut_up: DataFrame, n: int) -> DataFrame:
-    """Pieces with rank, from 0, among those of their length: counts by bucket give each bucket's first rank."""
+    """Pieces with rank, from 0, among those of their length: counts by bucket give each bucket's first rank.
+
+    cut_up is a checkpoint, so a row's number there, which tells repeated rows apart and spreads them, is the same whenever it is read.
+    """
     keys = ["length", "bucket"]
-    rows = cut_up.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(max(8, n // BUCKET))))
+    rows = cut_up.withColumn("rid", F.monotonically_increasing_id()).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "rid"), F.lit(max(8, n // BUCKET))))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = rows.groupBy(*keys).count().withColumn("base", F.coalesce(F.sum("count").over(before), F.lit(0))).select(F.col("length").alias("l"), F.col("bucket").alias("b"), "base")
-    own = Window.partitionBy(*keys).orderBy("doc_id", "piece", "start", "ids_crc32")
+    own = Window.partitionBy(*keys).orderBy("doc_id", "piece", "start", "ids_crc32", "rid")
     numbered = rows.withColumn("own", F.row_number().over(own) - 1)
     return numbered.join(base, (F.col("length") == F.col("l")) & (F.col("bucket") == F.col("b"))).withColumn("rank", F.col("base") + F.col("own"))
 
@@ -133,8 +136,8 @@ def packed(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = "") -> Da
     """doc_id, piece, start, length, ids_crc32, sequence_id and offset, one row for each piece.
 
     A null or empty text is the id 0 alone. Repeated rows are packed each. A null doc_id stays null; an
-    empty table gives an empty result; other columns are ignored. Pieces of equal length are
-    ranked by doc_id, piece and checksum within hash buckets, so a task that is run again ranks them the same.
+    empty table gives an empty result; other columns are ignored. Very long texts are many pieces. Pieces of equal length are
+    ranked by doc_id, piece, checksum and row of the checkpoint within hash buckets, so a task that is run again ranks them the same.
     """
     rows = cut(pieces(docs, capacity, tokenizer))
     # capacity rows at most, whatever the corpus

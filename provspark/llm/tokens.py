@@ -16,11 +16,13 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 WORD_BPE = "word_bpe_49k.json"
-#: Words whose ids one worker remembers before it forgets all and starts anew.
-MEMORY = 1_000_000
+#: Words whose ids one worker remembers, and their bytes with their ids, before it forgets all and starts anew; bytes of a word that is remembered at all.
+MEMORY, MEMORY_BYTES, LONGEST = 1_000_000, 64 << 20, 64
 #: Marks that are a token of their own after an ASCII letter or digit.
 LAST_MARKS = frozenset(b".,;:!?")
 ASCII_WORD = frozenset(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+#: Marks after which a letter begins a new piece, whatever else stands around: the pattern joins no letter to a mark but the apostrophe.
+STOPS = frozenset(".,;:!?\u3001\u3002\uff0c\uff1a\uff1b\uff01\uff1f")
 #: Characters of a text beyond which it counts as huge, of its chunks, and of the first overlap.
 HUGE, CHUNK, OVERLAP = 1 << 15, 1 << 14, 128
 
@@ -36,7 +38,7 @@ class Words:
     """Ids of words as little-endian unsigned 32-bit numbers, remembered."""
 
     def __init__(self, tokenizer: Tokenizer) -> None:
-        self.tokenizer, self.known = tokenizer, {}
+        self.tokenizer, self.known, self.size = tokenizer, {}, 0
 
     def ids(self, text: bytes) -> bytes:
         """The ids of a whole text's UTF-8, four bytes each."""
@@ -50,27 +52,32 @@ class Words:
         found = [[*map(self.known.get, words)] for words in split]
         new = {w for words, ids in zip(split, found) if None in ids for w, i in zip(words, ids) if i is None}
         if new:
-            if len(self.known) + len(new) > MEMORY:
-                # What is found is at hand already; only later texts ask again.
-                self.known = {}
-            self.learn(list(new))
+            # What is found is at hand already; only later texts ask again for what is forgotten.
+            fresh = self.learn(list(new))
             for words, ids in zip(split, found):
                 if None in ids:
-                    ids[:] = [self.known[w] if i is None else i for w, i in zip(words, ids)]
+                    ids[:] = [fresh[w] if i is None else i for w, i in zip(words, ids)]
         return [b"".join(ids) for ids in found]
 
-    def learn(self, words: list[bytes]) -> None:
-        """Remember words; of one with a last mark, the library is asked about what stands before the mark."""
-        known = self.known
+    def learn(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """The ids of words; of one with a last mark, the library is asked about what stands before the mark. All but long ones are remembered."""
+        if len(self.known) + len(words) > MEMORY or self.size > MEMORY_BYTES:
+            self.known, self.size = {}, 0
+        known, out = self.known, {}
         marked = {w for w in words if len(w) > 1 and w[-1] in LAST_MARKS and w[-2] in ASCII_WORD}
         plain = [w for w in words if w not in marked]
         plain += {x for w in marked for x in (w[:-1], w[-1:]) if x not in known}.difference(plain)
         for at in range(0, len(plain), 4096):
             some = plain[at : at + 4096]
             for w, e in zip(some, self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)):
-                known[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+                out[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
         for w in marked:
-            known[w] = known[w[:-1]] + known[w[-1:]]
+            out[w] = b"".join(out[x] if x in out else known[x] for x in (w[:-1], w[-1:]))
+        for w, ids in out.items():
+            if len(w) <= LONGEST:
+                known[w] = ids
+                self.size += len(w) + len(ids)
+        return out
 
 
 _SHARED: dict[str, Words] = {}
@@ -88,12 +95,13 @@ class OutOfStep(Exception):
 
 
 def boundaries(text: str, begin: int, spans: list[tuple[int, int]]) -> list[int]:
-    """Positions, in text, where a token of a chunk that begins at begin starts right after a blank.
+    """Positions, in text, where a token of a chunk that begins at begin starts right after a blank, or is a letter after one of STOPS.
 
-    Such a position is stable: no token, whatever stands further to the left or right, goes across it.
-    The chunk's own first token is left out, as the chunk may have cut it.
+    Such a position is stable: no token, whatever stands further to the left or right, goes across it. The normaliser
+    composes no mark with a letter after it, the pattern ends a run of marks before a letter, and special tokens hold
+    neither blanks nor STOPS. The chunk's own first token is left out, as the chunk may have cut it.
     """
-    return [begin + a for a, _ in spans[1:] if text[begin + a - 1] in " \t\n\x0b\x0c\r"]
+    return [begin + a for a, _ in spans[1:] if (c := text[begin + a - 1]) in " \t\n\x0b\x0c\r" or c in STOPS and text[begin + a].isalpha()]
 
 
 def splice(text: str, tokenizer: Tokenizer, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[int]:
@@ -102,14 +110,15 @@ def splice(text: str, tokenizer: Tokenizer, chunk: int = CHUNK, overlap: int = O
     Each chunk begins overlap characters before the end of the one before. Both encodings of the
     overlap are cut at a stable boundary that they share, and that both reach with the same tokens
     after it up to the next one; if there is none, the overlap is doubled, in the end to the whole
-    text, and the chunk encoded again.
+    text so far, and the chunk encoded again. An overlap that was needed is kept, and chunks are no shorter than
+    it, so a text without any boundary costs a few encodings of the whole, not one of each prefix.
     """
     ids: list[int] = []
     spans: list[tuple[int, int]] = []  # of ids, in text
     end, wide = 0, overlap
     while end < len(text):
         begin = max(0, end - wide) if end else 0
-        stop = min(len(text), end + chunk)
+        stop = min(len(text), end + max(chunk, wide))
         e = tokenizer.encode(text[begin:stop], add_special_tokens=False)
         if begin == 0:
             ids, spans = list(e.ids), list(e.offsets)
@@ -120,7 +129,7 @@ def splice(text: str, tokenizer: Tokenizer, chunk: int = CHUNK, overlap: int = O
                 wide = min(2 * wide, end)
                 continue
             ids[i:], spans[i:] = e.ids[j:], [(begin + a, begin + b) for a, b in e.offsets[j:]]
-        end, wide = stop, overlap
+        end = stop
     return ids
 
 

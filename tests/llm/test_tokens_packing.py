@@ -13,7 +13,7 @@ from provspark.llm import packing, token_counts, tokens
 TOKENIZER = tokens.word_bpe()
 WORDS = tokens.Words(TOKENIZER)
 whole = lambda t: TOKENIZER.encode(t, add_special_tokens=False).ids
-PIECES = ["the", "The", "don't", "'S", "É", "é", "H̱", "İ", "Σ", "<|endoftext|>", "<|ENDOFTEXT|>", "<|", "a1", "12", "!!", "\xa0", "\x1c", "\x85", "　", "漢字", "😀", " ", "  ", "\n", "\t", "\x0b", "ﬁ", "x" * 30]
+PIECES = ["the", "The", "don't", "'S", "É", "é", "H̱", "İ", "Σ", "<|endoftext|>", "<|ENDOFTEXT|>", "<|", "a1", "12", "!!", "\xa0", "\x1c", "\x85", "　", "漢字", "😀", " ", "  ", "\n", "\t", "\x0b", "ﬁ", "x" * 30, ".", "。", "，", "！", "漢", "한", "\u1100", "\u1161", "\u0301", ".a", "?\u0301a", ":'s", "ǅ", "ª", "\u02b0"]
 
 
 @settings(max_examples=800, deadline=None)
@@ -43,6 +43,41 @@ def test_huge_texts():
         assert tokens.counts([b"a b", text.encode()], WORDS, 1 << 15) == [2, len(whole(text))]
 
 
+class Costed:
+    """The tokenizer, and how many characters it was asked about."""
+
+    def __init__(self):
+        self.asked = 0
+
+    def encode(self, text, **how):
+        self.asked += len(text)
+        return TOKENIZER.encode(text, **how)
+
+
+def test_cost_is_linear_without_blanks():
+    r = random.Random(3)
+    han = [chr(x) for x in range(0x4E00, 0x4E00 + 3000)]
+    runs = "".join(r.choice(han) for _ in range(200_000))
+    sentences = "".join("".join(r.choice(han) for _ in range(r.randint(5, 40))) + r.choice("。，！") for _ in range(9000))
+    for text, most in ((runs, 10), (sentences, 1.2), ("x" * 200_000, 10), ("a, b" * 50_000, 1.2)):
+        cost = Costed()
+        assert tokens.splice(text, cost) == whole(text)
+        assert cost.asked <= most * len(text)
+
+
+def test_long_words_are_not_remembered(monkeypatch):
+    words = tokens.Words(TOKENIZER)
+    for i in range(50):
+        text = f"{'漢字' * 400}{i} short"
+        assert words.ids(text.encode()) == b"".join(x.to_bytes(4, "little") for x in whole(text))
+    assert set(words.known) == {b"short"}
+    monkeypatch.setattr(tokens, "MEMORY_BYTES", 2000)
+    for i in range(2000):
+        words.ids(f"w{i} v{i}".encode())
+        assert words.size <= 2000 + 64
+    assert len(words.known) < 300
+
+
 def single(lengths: list[int], capacity: int) -> list[int]:
     """Remainders of all bins after best fit decreasing, one piece at a time."""
     bins: list[int] = []
