@@ -35,6 +35,8 @@ HALVES = ((43, 11), (54, 10))
 POLYNOMIAL = 0b101011100011
 #: Fingerprints under one key that one task compares with others; a key that has more is split into a grid.
 BLOCK = 4096
+#: Frequent fingerprints that are broadcast with their components: so many at most, as each has more than that share of all rows.
+MOST_HOT = 10_000
 FINGERPRINTS = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("digest", pa.int64())])
 KEYS = pa.schema([("key", pa.int64()), ("side", pa.int8()), ("fp", pa.int64())])
 LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -248,13 +250,23 @@ def links(distinct: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def classes(prints: DataFrame, block: int = BLOCK) -> DataFrame:
-    """fp and component_id, the smallest doc_id of all documents whose fingerprints are reachable, for each distinct fp of (doc_id, fp)."""
-    least = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    """fp, component_id, the smallest doc_id of all documents whose fingerprints are reachable, and n, its rows, for each distinct fp of (doc_id, fp)."""
+    least = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
     roots = components(links(least.select("fp"), block)).withColumnRenamed("node", "fp")
     joined = least.join(roots, "fp")
     of_root = joined.groupBy("root").agg(F.min("least").alias("component_id"))
     moved = joined.join(of_root, "root").select(F.col("fp").alias("moved"), "component_id")
-    return least.join(moved, F.col("fp") == F.col("moved"), "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    return least.join(moved, F.col("fp") == F.col("moved"), "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), "n")
+
+
+def named(prints: DataFrame, of: DataFrame, block: int = BLOCK) -> DataFrame:
+    """prints with the component_id of classes(). Fingerprints of a share of all rows that MOST_HOT or fewer can have are broadcast, the others joined."""
+    of = cut(of)
+    least = max(block, (of.agg(F.sum("n")).first()[0] or 0) // MOST_HOT)
+    hot = of.filter(F.col("n") > least).select(F.col("fp").alias("hot"), F.col("component_id").alias("known"))
+    met = prints.join(F.broadcast(hot), F.col("fp") == F.col("hot"), "left")
+    rest = met.filter("hot IS NULL").drop("hot", "known").join(of.select("fp", "component_id"), "fp")
+    return met.filter("hot IS NOT NULL").withColumn("component_id", F.col("known")).select(rest.columns).unionByName(rest)
 
 
 def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -264,5 +276,5 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     never names a component unless there is no other; its component_id is then null. Other columns are ignored.
     """
     prints = cut(fingerprints(docs).select("doc_id", "fp"))
-    out = prints.join(classes(prints, block), "fp")
+    out = named(prints, classes(prints, block), block)
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

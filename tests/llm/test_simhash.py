@@ -58,6 +58,13 @@ def test_links_equal_brute_force(spark, block):
     assert {x.doc_id: x.component_id for x in found} == brute(prints)
 
 
+def test_hot_fingerprints(spark):
+    docs = spark.createDataFrame([(i, "same words here again" if i % 3 else f"other {i}") for i in range(200)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in S.near_duplicates(docs, 5).collect()}
+    assert len(got) == 200 and all(got[i] == (1 if i % 3 else got[i]) for i in range(200))
+    assert got == {r.doc_id: r.component_id for r in S.near_duplicates(docs).collect()}
+
+
 def test_edge_rows(spark):
     long = " ".join(f"w{i % 977}" for i in range(90_000))
     rows = [(1, None), (2, ""), (3, " \t"), (4, "one"), (5, "One"), (6, "a b"), (7, long), (8, long), (8, long), (None, "one"), (None, "alone here now"), (9, "x y z u v")]
