@@ -8,16 +8,17 @@ Kinds of the base contract, each leftmost and non-overlapping, dropped without r
 email, ip, card, phone. Kinds that the anchors add, each with a validation of its own:
 account (after a cue such as "iban" or "account number": an IBAN with the right check digits, or
 8 to 17 digits), ssn (after a cue: 3-2-4 digits in the ranges that are given out), login (user:password@
-after a scheme) and hidden_email ("name [at] host [dot] tld" with brackets around both words).
+after a scheme) and hidden_email ("name [at] host [dot] tld" with brackets around both words). A cue is followed by
+one to four blanks or marks (: # . = -) and then by what it names: that is its grammar, as three groups of digits are an ssn's.
 
-Defined results: a null or empty text has no spans; spans are in code points with exclusive ends; equal
+Defined results: a null or empty text has no spans; very long texts are searched whole, in time linear in their length; spans are in code points with exclusive ends; equal
 rows give equal results; other columns are ignored by find() and kept by redact().
 """
 
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_left
+import re
 
 import ahocorasick
 import pyarrow as pa
@@ -39,6 +40,9 @@ SSN_CUES = ("social security number", "social security", "ssn")
 AT_WORDS, DOT_WORDS = ("[at]", "(at)", "{at}"), ("[dot]", "(dot)", "{dot}")
 #: Characters between a cue and what it names, and how many of them there may be.
 AFTER_CUE, REACH = frozenset(" :#.=-\t"), 4
+#: The longest account there is: 34 characters, with a space between any two.
+WIDEST = 67
+AUTHORITY = re.compile(r"[^/?#\s]*")
 SPANS = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in BASE), ("base_sha256", pa.string()), ("spans", pa.string())])
 
 
@@ -189,9 +193,10 @@ def accounts(text: str, cues: list[tuple[int, int]]) -> list[tuple[int, int]]:
         if at < free or at < 0 or not alone(text, a):
             continue
         end = at
-        while end < len(text) and end - at < 45 and (text[end] in ALNUM or text[end] == " " and end + 1 < len(text) and text[end + 1] in ALNUM):
+        while end < len(text) and end - at < WIDEST and (text[end] in ALNUM or text[end] == " " and end + 1 < len(text) and text[end + 1] in ALNUM):
             end += 1
-        for stop in [end, *(i for i in range(end - 1, at, -1) if text[i] == " ")]:
+        whole = end == len(text) or text[end] not in ALNUM
+        for stop in [*([end] if whole else []), *(i for i in range(end - 1, at, -1) if text[i] == " ")]:
             raw = text[at:stop].replace(" ", "")
             if iban(raw.upper()) or raw.isdigit() and raw.isascii() and 8 <= len(raw) <= 17:
                 out.append((at, stop))
@@ -215,17 +220,15 @@ def ssns(text: str, cues: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def logins(text: str, schemes: list[tuple[int, int]], at: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """user:password between a scheme and the at-sign of its authority."""
+def logins(text: str, schemes: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """user:password between a scheme and the last at-sign of its authority, which ends before /, ?, # or white space, however far that is."""
     out = []
-    places = [i for i, _ in at]
     for a, b in schemes:
-        k = bisect_left(places, b)
-        if a == 0 or text[a - 1] not in ALNUM or k == len(places):
+        if a == 0 or text[a - 1] not in ALNUM:
             continue
-        inner = text[b : places[k]] if places[k] - b <= 256 else ""
-        if ":" in inner[1:-1] and not any(c in "/?#" or c.isspace() for c in inner):
-            out.append((b, places[k]))
+        at = text.rfind("@", b, AUTHORITY.match(text, b).end())
+        if ":" in text[b + 1 : max(b, at - 1)]:
+            out.append((b, at))
     return out
 
 
@@ -267,7 +270,7 @@ def spans(text: str, machine: ahocorasick.Automaton) -> list[tuple[int, int, str
         "phone": phones(text, found["plus"]),
         "account": accounts(text, found["account"]),
         "ssn": ssns(text, found["ssn"]),
-        "login": logins(text, found["scheme"], found["at"]),
+        "login": logins(text, found["scheme"]),
         "hidden_email": hidden_emails(text, found["hidden"]),
     }
     return sorted(((a, b, k) for k, places in by.items() for a, b in places), key=lambda x: (x[0], KINDS.index(x[2])))

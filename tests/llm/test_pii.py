@@ -60,3 +60,14 @@ def test_rows(spark):
     out = [(r.doc_id, r.text, r.n_chars) for r in clean.collect()]
     assert out[0] == (1, None, 0) and out[2] == (3, "mail [EMAIL], [EMAIL]", 21) and out[5] == (4, "clean text", 10)
     assert pii.find(docs.limit(0)).count() == 0
+
+
+def test_grammars_without_caps():
+    machine = pii.automaton()
+    got = lambda t: [(t[a:b], k) for a, b, k in pii.spans(t, machine) if k in ("login", "account")]
+    secret = "p" * 5000
+    assert got(f"see ftp://user:{secret}@host.example/x") == [(f"user:{secret}", "login")]
+    assert got("http://a:b@c@host/ and http://x/y:z@w and https://none@host and s://u:p#@h") == [("a:b@c", "login")]
+    spaced = " ".join("GB82WEST12345698765432")
+    assert got(f"IBAN: {spaced}, thanks") == [(spaced, "account")]
+    assert got("account 12345678 " + "x" * 300) == [("12345678", "account")] and got("account " + "1" * 300) == []
