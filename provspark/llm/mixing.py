@@ -19,9 +19,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from provspark.llm.common import BLANK_CHARS, BLANKS, cut
+from provspark.llm.common import BLANK_CHARS, BLANKS, cut, nested
 
 SIDES = ("source", "lang", "topic")
+COLUMNS = ("doc_id", "text", "source", "lang")
 CELLS, ROUNDS, CLOSE = 1_000_000, 100, 1e-9
 #: Cells up to which their table is broadcast, so that texts stay where they are; beyond that the optimizer decides.
 BROADCAST = 100_000
@@ -39,13 +40,13 @@ def topic(text: Column) -> Column:
     return F.when(~text.rlike(f"[^{BLANKS}]"), "blank").when(share("|") > 0.02, "table").when(share("#*$%&<>{}") > 0.02, "markup").when(share("0-9") > 0.02, "numeric").otherwise("prose")
 
 
-def placed(docs: DataFrame) -> DataFrame:
-    """docs with _m_source, _m_lang, _m_topic (null: empty) and _m_tokens, the words of the text and one for its end."""
+def placed(docs: DataFrame, topics: str = "") -> DataFrame:
+    """docs with _m_source, _m_lang, _m_topic (of the column topics, if one is named; null: empty) and _m_tokens, the words of the text and one for its end."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     side = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     inner = F.trim(text, F.lit(BLANK_CHARS))
     words = F.when(inner == "", 0).otherwise(F.size(F.split(inner, f"[{BLANKS}]+"))) + 1
-    return docs.withColumns({"_m_source": side("source"), "_m_lang": side("lang"), "_m_topic": topic(text), "_m_tokens": words.cast("bigint")})
+    return docs.withColumns({"_m_source": side("source"), "_m_lang": side("lang"), "_m_topic": side(topics) if topics else topic(text), "_m_tokens": words.cast("bigint")})
 
 
 def cells(rows: DataFrame) -> DataFrame:
@@ -260,19 +261,37 @@ def drawn(rows: DataFrame, table: DataFrame) -> DataFrame:
     return rows.join(goal, at, "left").withColumn("_m_kept", lot < F.coalesce("_m_p", F.lit(0.0)))
 
 
-def mixed(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, keep: float = KEEP) -> DataFrame:
+def given(targets: DataFrame) -> dict[str, dict[str, float]]:
+    """Targets by side from a table (side, value, share), of CELLS rows at most."""
+    rows = targets.select("side", "value", F.col("share").cast("double").alias("share")).limit(CELLS + 1).collect()
+    if len(rows) > CELLS:
+        raise ValueError(f"more than {CELLS} targets")
+    out: dict[str, dict[str, float]] = {}
+    for r in rows:
+        if r.side not in SIDES or r.share is None or r.share < 0:
+            raise ValueError(f"no target: {r}")
+        out.setdefault(r.side, {})[r.value or ""] = r.share
+    return out
+
+
+def chosen(targets: Mapping[str, Mapping[str, float]] | DataFrame | None) -> Mapping[str, Mapping[str, float]] | None:
+    return given(targets) if isinstance(targets, DataFrame) else targets
+
+
+def mixed(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | DataFrame | None = None, keep: float = KEEP, topics: str = "") -> DataFrame:
     """Every document with its cell, weight, probability and whether it is drawn.
 
-    doc_id, source, lang, topic, n_tokens, probability, kept. Nulls in source or lang are a value of their
-    own, the empty string; a null text has the topic blank and one token, its end. Equal rows are drawn
+    doc_id, source, lang, topic, n_tokens, probability, kept. targets: shares by side and value, or a table (side, value, share).
+    topics: a column of docs with topics; else they are told from a text's look. Nulls in source, lang or topic are a value of their
+    own, the empty string; a null text has the topic blank and one token, its end. Very long texts are counted whole. Equal rows are drawn
     alike. An empty table gives an empty result. Other columns are ignored.
     """
-    rows = placed(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "source", "lang"))
-    out = drawn(rows, probabilities(rows, targets, keep))
-    return out.select("doc_id", *(F.col(f"_m_{s}").alias(s) for s in SIDES), F.col("_m_tokens").alias("n_tokens"), F.round("_m_p", 9).alias("probability"), F.col("_m_kept").alias("kept"))
+    rows = placed(docs.select(*COLUMNS, *([topics] if topics else [])), topics)
+    out = drawn(rows, probabilities(rows, chosen(targets), keep))
+    return out.select(F.col("doc_id").cast("bigint").alias("doc_id"), *(F.col(f"_m_{s}").alias(s) for s in SIDES), F.col("_m_tokens").alias("n_tokens"), F.round("_m_p", 9).alias("probability"), F.col("_m_kept").alias("kept"))
 
 
-def sample(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, keep: float = KEEP) -> DataFrame:
+def sample(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | DataFrame | None = None, keep: float = KEEP, topics: str = "") -> DataFrame:
     """The rows of docs, with all their columns, that mixed() would draw. Texts are neither shuffled nor written."""
-    rows = placed(docs)
-    return drawn(rows, probabilities(rows, targets, keep)).filter("_m_kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = placed(nested(docs, *COLUMNS, *([topics] if topics else [])), topics)
+    return drawn(rows, probabilities(rows, chosen(targets), keep)).filter("_m_kept").select("row.*")

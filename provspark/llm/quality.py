@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from provspark.llm.common import BLANK_CHARS, BLANKS, cut
+from provspark.llm.common import BLANK_CHARS, BLANKS, cut, keyed, nested
 
 ROUNDS = 60
 #: Where the search begins: most documents are good, rules seldom call a good one bad, and each sees a part of the bad ones.
@@ -154,7 +154,7 @@ def with_posterior(rows: DataFrame, fitted: DataFrame) -> DataFrame:
 
 def verdicts(docs: DataFrame) -> DataFrame:
     """doc_id, the base counts, base_failed, kept, the votes and the posterior. The counts are made once and kept in a checkpoint."""
-    rows = cut(judged(docs.withColumn("doc_id", F.col("doc_id").cast("bigint")), ["doc_id"]))
+    rows = cut(judged(keyed(docs), ["doc_id"]))
     out = with_posterior(rows, posteriors(rows))
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     return out.select("doc_id", *[F.col("_q_stats")[c].alias(c) for c in counts], F.col("_q_failed").alias("base_failed"), F.col("_q_kept").alias("kept"), F.col("_q_votes").alias("votes"), F.round("_q_posterior", 6).alias("posterior"))
@@ -166,5 +166,6 @@ def keep_good(docs: DataFrame) -> DataFrame:
     Counts are made twice, once for the model and once for the filter, so whole texts are neither
     shuffled nor written.
     """
-    fitted = cut(posteriors(judged(docs, [])))
-    return with_posterior(judged(docs, docs.columns), fitted).filter("_q_kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = nested(docs, "text")
+    fitted = cut(posteriors(judged(rows, [])))
+    return with_posterior(judged(rows, ["row"]), fitted).filter("_q_kept").select("row.*")

@@ -78,3 +78,24 @@ def test_bounded_frames_near_bounded_arrays(spark):
     want = M.bounded([tuple(x) for x in a[list(M.SIDES)].to_numpy()], a.tokens.to_numpy(), a.factor.to_numpy(), 0.7)
     got = M.bounded_frames(spark.createDataFrame(a), 0.7, rounds=6).toPandas().set_index(list(M.SIDES)).x.clip(upper=1)
     assert got.loc[[tuple(x) for x in a[list(M.SIDES)].to_numpy()]].to_numpy() == pytest.approx(want, abs=0.03)
+
+
+def test_clashing_names_and_long_texts(spark):
+    rows = [(i, "word " * (40 if i else 200_000), "en", "a", -7, "mine", 0.5, True, 3) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, _m_tokens long, _g_source string, _m_p double, _m_kept boolean, row long")
+    kept = M.sample(docs)
+    got = kept.collect()
+    assert kept.columns == docs.columns and 0 < len(got) <= 20 and all(tuple(r) == rows[r.doc_id] for r in got)
+    assert {r.doc_id for r in got} == {r.doc_id for r in M.mixed(docs).collect() if r.kept}
+    assert M.mixed(docs).filter("doc_id = 0").first().n_tokens == 200_001
+
+
+def test_targets_and_topics_from_tables(spark):
+    docs = spark.createDataFrame([(i, "word " * 9, "en", "a", "law" if i % 4 else "art") for i in range(4000)], "doc_id long, text string, lang string, source string, subject string")
+    goal = spark.createDataFrame([("topic", "law", 0.5), ("topic", "art", 0.5)], "side string, value string, share double")
+    got = M.mixed(docs, goal, 0.4, "subject").toPandas()
+    share = got[got.kept].groupby("topic").n_tokens.sum() / got[got.kept].n_tokens.sum()
+    assert set(got.topic) == {"law", "art"} and share.to_dict() == pytest.approx({"law": 0.5, "art": 0.5}, abs=0.04)
+    assert M.sample(docs, goal, 0.4, "subject").count() == got.kept.sum()
+    with pytest.raises(ValueError):
+        M.given(spark.createDataFrame([("look", "x", 0.5)], "side string, value string, share double"))

@@ -69,3 +69,13 @@ def test_filter_keeps_the_same_rows(docs):
     want = sorted(str(r.doc_id) for r in Q.verdicts(docs).collect() if r.kept)
     assert sorted(str(r.doc_id) for r in kept.collect()) == want
     assert Q.verdicts(docs.limit(0)).count() == 0 and Q.keep_good(docs.limit(0)).count() == 0
+
+
+def test_clashing_names(docs):
+    clash = docs.selectExpr("*", "7 AS _q_text", "'x' AS _q_votes", "8 AS _q_kept", "9 AS _q_pattern", "10 AS row", "11 AS _q_stats", "12 AS _q_posterior")
+    kept = Q.keep_good(clash)
+    assert kept.columns == clash.columns
+    got = kept.collect()
+    assert sorted(str(r.doc_id) for r in got) == sorted(str(r.doc_id) for r in Q.keep_good(docs).collect())
+    assert {(r._q_text, r._q_votes, r._q_kept, r._q_pattern, r.row, r._q_stats, r._q_posterior) for r in got} == {(7, "x", 8, 9, 10, 11, 12)}
+    assert Q.verdicts(clash).count() == docs.count()
