@@ -1,12 +1,14 @@
 """Quality rules as weak supervision, with DataFrame functions only.
 
 Each rule looks at one property of a document and votes good (1), bad (-1) or abstains (0).
-Expectation-maximisation over the table of vote patterns (3 ** rules rows at most, whatever the number
+Each kind of bad documents that is thought of is seen by two rules or more, so that their agreement tells more than their
+number. Expectation-maximisation over the table of vote patterns (3 ** rules rows at most, whatever the number
 of documents) estimates for every rule how often it is right on good and on bad documents; a
 document's posterior probability of being good then replaces a filter that all rules must pass.
 
 Defined results: a null or blank text has no words, fails the base rules and isn't kept; a rule whose
-denominator is 0 abstains; repeated rows are judged one by one; an empty table gives an empty result;
+denominator is 0 abstains; words are what blanks separate, so texts in scripts without blanks fail the base rules, and
+capitals are ASCII's; very long texts are counted whole; equal windows of words are told by their 64-bit digests; repeated rows are judged one by one; an empty table gives an empty result;
 other columns, also ones called like ours, are ignored by verdicts() and kept by keep_good().
 """
 
@@ -24,9 +26,13 @@ ROUNDS = 60
 PRIOR, ON_GOOD, ON_BAD = 0.8, 0.9995, 0.4
 #: Added to either side of each estimated share.
 SMOOTH = 1.0
-#: Votes on good documents that are assumed beforehand, as a multiple of the rows: a share ON_GOOD of them is right.
-#: Without them a rule that alone sees one kind of bad documents would be held for wrong on good ones.
-TRUST = 30.0
+#: Votes on good documents that are assumed beforehand, as a share of the rows: of them a share ON_GOOD is right. They only keep
+#: estimates from 1 and decide for kinds of documents that a single rule sees; what votes say moves the accuracies.
+TRUST = 0.25
+#: Letters and digits of any script, as members of a regular expression's class; marks that end or divide a sentence.
+ALNUM, STOPS = r"\p{L}\p{N}", ".,;:?!\u3001\u3002\uff0c\uff1a\uff1b\uff01\uff1f"
+#: A word without any letter or digit.
+BARE = rf"(?<![^{BLANKS}])[^{ALNUM}{BLANKS}]++(?![^{BLANKS}])"
 
 
 def band(x: Column, good: tuple[float, float], bad: tuple[float, float]) -> Column:
@@ -46,6 +52,8 @@ def rules(at: Callable[[str], Column]) -> dict[str, Column]:
         "shouting": band(per_word("n_exclaims"), (0, 0.05), (0, 0.3)),
         "capitals": band(per_word("n_capitals"), (0, 0.35), (0, 1.5)),
         "punctuation": band(per_word("n_stops"), (0.01, 0.4), (0.001, 0.9)),
+        "letters": band(F.when(at("word_chars") > 0, at("n_alnum") / at("word_chars")), (0.9, 1), (0.8, 1)),
+        "bare_words": band(per_word("n_bare"), (0, 0.02), (0, 0.1)),
     }
 
 
@@ -94,7 +102,9 @@ def stats(docs: DataFrame, keep: list[str]) -> DataFrame:
         "n_lines": long(F.size(own("lines"))),
         "n_exclaims": count_of(text, "!"),
         "n_capitals": count_of(text, "A-Z"),
-        "n_stops": count_of(text, ".,;:?!"),
+        "n_stops": count_of(text, STOPS),
+        "n_alnum": count_of(text, ALNUM),
+        "n_bare": long(F.regexp_count(text, F.lit(BARE))),
     }
     return df.select(*[F.col(f"`{c}`") for c in keep], opaque(F.struct(*[c.alias(n) for n, c in made.items()])).alias(own("stats")))
 
