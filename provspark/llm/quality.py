@@ -40,21 +40,37 @@ def band(x: Column, good: tuple[float, float], bad: tuple[float, float]) -> Colu
     return F.when(x.isNull(), 0).when(x.between(*good), 1).when((x < bad[0]) | (x > bad[1]), -1).otherwise(0)
 
 
+#: By rule, where it votes good and outside which it votes bad.
+BANDS = {
+    "length": ((80, 1e12), (30, 1e12)),
+    "word_length": ((3, 10), (2, 14)),
+    "symbols": ((0, 0.02), (0, 0.1)),
+    "repeated_lines": ((0, 0.05), (0, 0.3)),
+    "repeated_words": ((0, 0.05), (0, 0.25)),
+    "shouting": ((0, 0.05), (0, 0.3)),
+    "capitals": ((0, 0.35), (0, 1.5)),
+    "punctuation": ((0.01, 0.4), (0.001, 0.9)),
+    "letters": ((0.9, 1), (0.8, 1)),
+    "bare_words": ((0, 0.02), (0, 0.1)),
+}
+
+
 def rules(at: Callable[[str], Column]) -> dict[str, Column]:
     """The votes by name; at(count) is the column of a count that stats() makes."""
-    per_word = lambda c: F.when(at("n_words") > 0, at(c) / at("n_words"))
-    return {
-        "length": band(at("n_words"), (80, 1e12), (30, 1e12)),
-        "word_length": band(per_word("word_chars"), (3, 10), (2, 14)),
-        "symbols": band(per_word("n_symbols"), (0, 0.02), (0, 0.1)),
-        "repeated_lines": band(F.when(at("n_lines") > 0, at("n_dup_lines") / at("n_lines")), (0, 0.05), (0, 0.3)),
-        "repeated_words": band(per_word("n_repeat_words"), (0, 0.05), (0, 0.25)),
-        "shouting": band(per_word("n_exclaims"), (0, 0.05), (0, 0.3)),
-        "capitals": band(per_word("n_capitals"), (0, 0.35), (0, 1.5)),
-        "punctuation": band(per_word("n_stops"), (0.01, 0.4), (0.001, 0.9)),
-        "letters": band(F.when(at("word_chars") > 0, at("n_alnum") / at("word_chars")), (0.9, 1), (0.8, 1)),
-        "bare_words": band(per_word("n_bare"), (0, 0.02), (0, 0.1)),
+    share = lambda c, of: F.when(at(of) > 0, at(c) / at(of))
+    figures = {
+        "length": at("n_words"),
+        "word_length": share("word_chars", "n_words"),
+        "symbols": share("n_symbols", "n_words"),
+        "repeated_lines": share("n_dup_lines", "n_lines"),
+        "repeated_words": share("n_repeat_words", "n_words"),
+        "shouting": share("n_exclaims", "n_words"),
+        "capitals": share("n_capitals", "n_words"),
+        "punctuation": share("n_stops", "n_words"),
+        "letters": share("n_alnum", "word_chars"),
+        "bare_words": share("n_bare", "n_words"),
     }
+    return {name: band(figures[name], good, bad) for name, (good, bad) in BANDS.items()}
 
 
 def count_of(text: Column, members: str) -> Column:
@@ -179,3 +195,36 @@ def keep_good(docs: DataFrame) -> DataFrame:
     rows = nested(docs, "text")
     fitted = cut(posteriors(judged(rows, [])))
     return with_posterior(judged(rows, ["row"]), fitted).filter("_q_kept").select("row.*")
+
+
+def sql() -> str:
+    """verdicts() of documents, for DuckDB: counts by unnesting, expectation-maximisation as a recursive query."""
+    blanks = r"\x20\x09-\x0D"
+    chars = lambda members: f"length(regexp_replace(t, '[^{members}]+', '', 'g'))"
+    names = list(rules(lambda c: F.lit(0)))
+    n, per = len(names), lambda c: f"CASE WHEN n_words > 0 THEN {c}::DOUBLE / n_words END"
+    values = {
+        "length": "n_words", "word_length": per("word_chars"), "symbols": per("n_symbols"), "repeated_lines": "CASE WHEN n_lines > 0 THEN n_dup_lines::DOUBLE / n_lines END", "repeated_words": per("n_repeat_words"),
+        "shouting": per("n_exclaims"), "capitals": per("n_capitals"), "punctuation": per("n_stops"), "letters": "CASE WHEN word_chars > 0 THEN n_alnum::DOUBLE / word_chars END", "bare_words": per("n_bare"),
+    }
+    vote = lambda x, good, bad: f"CASE WHEN ({x}) IS NULL THEN 0 WHEN ({x}) BETWEEN {good[0]} AND {good[1]} THEN 1 WHEN ({x}) < {bad[0]} OR ({x}) > {bad[1]} THEN -1 ELSE 0 END"
+    votes = ", ".join(vote(values[name], *BANDS[name]) for name in names)
+    chance = "1 / (1 + exp(ln((1 - prior) / prior) + list_sum(list_transform(range(1, {n} + 1), lambda j: CASE v[j] WHEN 1 THEN ln((1 - b[j]) / g[j]) WHEN -1 THEN ln(b[j] / (1 - g[j])) ELSE 0 END))))".replace("{n}", str(n))
+    return rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+s AS (SELECT *, CASE WHEN regexp_matches(t, '[^{blanks}]') THEN list_filter(regexp_split_to_array(t, '[{blanks}]+'), lambda x: x <> '') ELSE [] END AS words, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^{blanks}]')) AS lines FROM d),
+win AS (SELECT rid, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS x FROM s, unnest(range(1, len(words) - 1)) AS u(i)),
+rep AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, x) AS c FROM win) WHERE c > 1),
+cov AS (SELECT rid, count(DISTINCT i + k) AS n FROM rep, (SELECT unnest([0, 1, 2]) AS k) GROUP BY rid),
+c AS (SELECT s.rid, doc_id, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars, {chars("#*$%&|<>")} AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words, len(lines) AS n_lines, {chars("!")} AS n_exclaims,
+{chars("A-Z")} AS n_capitals, {chars(STOPS)} AS n_stops, {chars(ALNUM)} AS n_alnum, len(list_filter(words, lambda x: NOT regexp_matches(x, '[{ALNUM}]'))) AS n_bare FROM s LEFT JOIN cov ON cov.rid = s.rid),
+j AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, [{votes}] AS v FROM c),
+pat AS (SELECT v, count(*)::DOUBLE AS n FROM j GROUP BY v),
+m AS (SELECT 0 AS i, {PRIOR}::DOUBLE AS prior, list_transform(range({n}), lambda x: {ON_GOOD}::DOUBLE) AS g, list_transform(range({n}), lambda x: {ON_BAD}::DOUBLE) AS b
+UNION ALL SELECT i + 1, any_value(p), list(gj ORDER BY j), list(bj ORDER BY j) FROM (
+SELECT i, j, (sum(n * q) + {SMOOTH}) / (sum(n) + {2 * SMOOTH}) AS p, (sum(CASE WHEN v[j] = 1 THEN n * q ELSE 0 END) + {ON_GOOD * TRUST} * sum(n)) / (sum(CASE WHEN v[j] <> 0 THEN n * q ELSE 0 END) + {TRUST} * sum(n)) AS gj,
+(sum(CASE WHEN v[j] = -1 THEN n * (1 - q) ELSE 0 END) + {SMOOTH}) / (sum(CASE WHEN v[j] <> 0 THEN n * (1 - q) ELSE 0 END) + {2 * SMOOTH}) AS bj
+FROM (SELECT i, v, n, {chance} AS q FROM m, pat WHERE i < {ROUNDS}), unnest(range(1, {n} + 1)) AS u(j) GROUP BY i, j) GROUP BY i),
+f AS (SELECT v, {chance} AS q FROM m, pat WHERE i = {ROUNDS})
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND q >= 0.5 AS kept, array_to_string(j.v, ',') AS votes, round(q, 6) AS posterior FROM j JOIN f ON j.v = f.v
+"""

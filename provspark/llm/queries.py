@@ -55,4 +55,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_license_digests": licenses.sql()}
+    return {"op2_quality_rules": quality.sql(), "op6_license_digests": licenses.sql()}

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+import xxhash
 
 from provspark.llm import mixing as M
 
@@ -99,3 +100,34 @@ def test_targets_and_topics_from_tables(spark):
     assert M.sample(docs, goal, 0.4, "subject").count() == got.kept.sum()
     with pytest.raises(ValueError):
         M.given(spark.createDataFrame([("look", "x", 0.5)], "side string, value string, share double"))
+
+
+def lot(*parts) -> float:
+    """The number that decides: XXH64 of the parts one after another, each seeded with the one before, in 2 ** 32ths."""
+    h = 42
+    for p in parts:
+        if p is not None:
+            h = xxhash.xxh64_intdigest(p.encode() if isinstance(p, str) else p, h)
+    return h % (1 << 32) / (1 << 32)
+
+
+def test_draws_equal_brute_force(spark):
+    docs = corpus(spark, 800)
+    texts = sorted(((r.doc_id, r.text, r.source or "", r.lang or "") for r in docs.collect()), key=str)
+    got = sorted(M.mixed(docs).collect(), key=lambda r: str((r.doc_id, r.source, r.lang)))
+    p = {(r.source, r.lang, r.topic): r.probability for r in got}
+    # Cells and their tokens in plain loops, then the same arrays' raking.
+    cells = {}
+    for r in got:
+        cells[r.source, r.lang, r.topic] = cells.get((r.source, r.lang, r.topic), 0) + r.n_tokens
+    names = sorted(cells)
+    tokens = np.array([cells[n] for n in names], float)
+    want = M.bounded(names, tokens, M.rake(names, tokens), M.KEEP)
+    assert [p[n] for n in names] == pytest.approx(want, abs=2e-9)
+    drawn = sorted(((r.doc_id, r.kept) for r in got), key=str)
+    mine = []
+    for d, t, source, lang in texts:
+        topic = {x.topic for x in got if (x.doc_id, x.source, x.lang) == (d, source, lang)}
+        assert len(topic) == 1 and len((t or "").split()) + 1 in {x.n_tokens for x in got if x.doc_id == d}
+        mine.append((d, lot((42).to_bytes(4, "little"), None if d is None else d.to_bytes(8, "little", signed=True), t) < p[source, lang, topic.pop()]))
+    assert sorted(mine, key=str) == drawn

@@ -1,4 +1,5 @@
-"""The pipeline against a version in plain loops, stage by stage."""
+"""The pipeline stage by stage: near-duplicates and packing against brute force, the other stages against what their operators report row by
+row, which tests of their own hold against plain loops."""
 
 import random
 import re
