@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,11 +23,56 @@ def dangling(edges: DataFrame, nodes: DataFrame, exempt: str = "") -> DataFrame:
     return lost.filter(~F.col("dep").startswith(exempt)) if exempt else lost
 
 
-def stuck(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+#: Nodes and links of a graph up to which a task folds it whole. The format allows 20,000 nodes.
+WHOLE = 200_000
+
+
+def stuck(nodes: DataFrame, edges: DataFrame, whole: int = WHOLE) -> DataFrame:
     """(graph, id) of nodes on a cycle or depending on one: what is left after taking away, again and again, nodes without open deps.
 
+    Graphs of up to whole nodes and links are folded each in a task, spread by graph; only larger ones, if there are any,
+    are peeled by joins. Dangling deps don't hold a node.
+    """
+    every = nodes.select("graph", "id").distinct()
+    rows = cut(every.withColumn("dep", F.lit(None).cast(edges.schema["dep"].dataType)).unionByName(edges.select("graph", "id", "dep").distinct()))
+    sizes = rows.groupBy(F.col("graph").alias("_g")).agg(F.count(F.lit(1)).alias("_n"))
+    large = cut(sizes.filter(F.col("_n") > whole).select("_g"))
+    small = rows.join(large, F.col("graph") == F.col("_g"), "left_anti").repartition("graph").sortWithinPartitions("graph")
+    folded = small.mapInArrow(fold, every.schema)
+    if large.isEmpty():
+        return folded
+    of = lambda df: df.join(large, F.col("graph") == F.col("_g"), "left_semi")
+    return folded.unionByName(peeled(of(every), of(edges.select("graph", "id", "dep"))))
+
+
+def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (graph, id, dep), a null dep for each node, sorted by graph, to the stuck nodes; one graph is held at a time."""
+    own, ids, deps, kinds, names = None, [], {}, [], ["graph", "id"]
+
+    def told() -> pa.RecordBatch:
+        left = in_row_stuck(ids, [deps.get(i, []) for i in ids])
+        return pa.RecordBatch.from_arrays([pa.array([own] * len(left), kinds[0]), pa.array(left, kinds[1])], names=names)
+
+    for b in batches:
+        kinds = [b.schema.field(n).type for n in names]
+        for g, i, d in zip(*(b.column(n).to_pylist() for n in ("graph", "id", "dep"))):
+            if g != own and ids:
+                yield told()
+                ids, deps = [], {}
+            own = g
+            if d is None:
+                ids.append(i)
+            else:
+                deps.setdefault(i, []).append(d)
+    if ids:
+        yield told()
+
+
+def peeled(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """stuck() by joins, for graphs of any size.
+
     Each round also contracts chains: a node with one open dep shares its fate, so what depends on it depends on the
-    end of its chain instead. Rounds go on until one changes nothing; lineage is cut in each. Dangling deps don't hold a node.
+    end of its chain instead. Rounds go on until one changes nothing; lineage is cut in each.
     """
     every = nodes.select("graph", "id").distinct()
     links = cut(edges.select("graph", "id", "dep").distinct().join(every, ["graph", "id"], "left_semi").join(every.withColumnRenamed("id", "dep"), ["graph", "dep"], "left_semi").select("graph", "id", "dep"))

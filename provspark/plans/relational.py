@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from provspark.functions import scalars as S
@@ -449,6 +449,18 @@ def dag_cycle(spark, d):
     return graph.stuck(rows.select("graph", "id"), rows)
 
 
+@query("""SELECT o_orderstatus AS graph, count(*) AS n_nodes, CASE WHEN o_orderstatus = 'O' THEN count(*) ELSE 0 END AS n_stuck FROM orders GROUP BY 1""")
+def dag_long_chains(spark, d):
+    """All orders of a status as one chain of steps, each of which depends on the one before; the chain of 'O' is closed to a ring."""
+    rows = table(spark, d, "orders").select(F.col("o_orderstatus").alias("graph"), F.col("o_orderkey").alias("id"))
+    before = Window.partitionBy("graph").orderBy("id")
+    linked = rows.withColumn("dep", F.lag("id").over(before))
+    last = rows.filter("graph = 'O'").groupBy("graph").agg(F.min("id").alias("id"), F.max("id").alias("dep"))
+    edges = linked.filter("dep IS NOT NULL").unionByName(last)
+    held = graph.stuck(rows, edges).groupBy(F.col("graph").alias("_g")).agg(F.count(F.lit(1)).alias("n_stuck"))
+    return rows.groupBy("graph").agg(F.count(F.lit(1)).alias("n_nodes")).join(held, F.col("graph") == F.col("_g"), "left").select("graph", "n_nodes", F.coalesce("n_stuck", F.lit(0)).alias("n_stuck"))
+
+
 # --- streams in a table
 
 
