@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from provspark.codec import artifact as A
 from provspark.codec import exchange, keys
 from provspark.functions import scalars
-from provspark.operators import export
+from provspark.operators import responses
 from provspark.operators.shared import folder
 from provspark.plans.artifacts import NAMED, PUBLIC, built, documents_of
 from provspark.plans.registry import query, table
@@ -142,3 +142,34 @@ def rendered_documents(spark, d):
 
     rows = respelled(spark, d, f, pa.schema([("artifact_id", pa.string()), ("mean", pa.float64()), ("n_lines", pa.int64())]), "artifact_id string, mean double, n_lines long")
     return rows.withColumn("mean", F.round("mean", 6))
+
+
+@query("""WITH c AS (SELECT conv_id, turn, coalesce(text, '') AS text, conv_id % 4 AS k FROM conversations)
+SELECT conv_id, turn, ['gpt-x', 'claude-x', 'gemini-x', ''][k + 1] AS model, CASE WHEN k = 3 OR turn % 3 = 2 THEN CASE WHEN k < 2 AND turn % 3 = 2 THEN '' ELSE 'text' END ELSE CASE WHEN text = '' AND NOT (k < 2 AND turn % 3 = 1) THEN 'text' WHEN text = '' THEN '' ELSE 'text' END END AS last_kind,
+CASE WHEN k < 2 AND turn % 3 > 0 THEN 1 ELSE 0 END AS n_calls, CASE WHEN k < 2 AND turn % 3 > 0 THEN 1 ELSE 0 END AS n_results, CASE WHEN k = 3 OR turn % 3 = 2 THEN '' ELSE text END AS answer, CASE k WHEN 0 THEN CASE WHEN turn % 2 = 1 THEN 'reasoning' END WHEN 1 THEN 'thought_1' WHEN 2 THEN 'thought_0' END AS last_step,
+round(CASE WHEN k IN (0, 2) THEN (exp(-0.5::DOUBLE) + exp(-turn::DOUBLE)) / 2 WHEN k = 1 THEN 0.92 ELSE 0.85 END, 9) AS mean, round(CASE WHEN k IN (0, 2) THEN power((exp(-0.5::DOUBLE) - exp(-turn::DOUBLE)) / 2, 2) WHEN k = 1 THEN 0.03 ELSE 0.05 END, 9) AS var, CASE WHEN k < 2 AND turn % 3 = 2 THEN true WHEN k < 2 AND turn % 3 = 1 THEN false END AS failed FROM c""")
+def recorded_responses(spark, d):
+    """Responses of three providers with tool calls, thoughts and token probabilities, and JSON that can't be read."""
+    c, t = F.col("conv_id"), F.col("turn")
+    k, call = c % 4, F.concat(F.lit("c"), t.cast("string"))
+    text = F.when(t % 3 == 2, F.lit(None).cast("string")).otherwise(F.coalesce("text", F.lit("")))
+    logs = lambda name: F.array(*[F.struct(x.alias(name)) for x in (F.lit(-0.5), -t.cast("double"))])
+    tool = F.array(F.struct(call.alias("id"), F.struct(F.lit("search").alias("name"), F.lit('{"q":1}').alias("arguments")).alias("function")))
+    openai = F.to_json(F.struct(
+        F.lit("gpt-x").alias("model"), F.array(F.struct(F.struct(text.alias("content"), F.when(t % 3 > 0, tool).alias("tool_calls")).alias("message"), F.struct(logs("logprob").alias("content")).alias("logprobs"))).alias("choices"),
+        F.struct(F.struct(F.when(t % 2 == 1, t).otherwise(0).alias("reasoning_tokens")).alias("completion_tokens_details")).alias("usage"),
+    ))
+    block = lambda kind, **f: F.struct(F.lit(kind).alias("type"), *[(f[n] if n in f else F.lit(None).cast("string")).alias(n) for n in ("text", "thinking", "id", "name")], (F.struct(F.lit(1).alias("q")) if kind == "tool_use" else F.lit(None).cast("struct<q:int>")).alias("input"))
+    blocks = F.array(block("thinking", thinking=F.lit("first")), block("thinking", thinking=F.lit("second")), block("text", text=text), block("tool_use", id=call, name=F.lit("search")))
+    anthropic = F.to_json(F.struct(F.lit("claude-x").alias("model"), F.filter(blocks, lambda b: (b["type"] != "tool_use") | (t % 3 > 0)).alias("content")))
+    parts = F.array(F.struct(F.lit("so ").alias("text"), F.lit(True).alias("thought")), F.struct(F.lit("then").alias("text"), F.lit(True).alias("thought")), F.struct(text.alias("text"), F.lit(False).alias("thought")))
+    gemini = F.to_json(F.struct(F.lit("gemini-x").alias("modelVersion"), F.array(F.struct(F.struct(parts.alias("parts")).alias("content"), F.struct(logs("log_probability").alias("chosen_candidates")).alias("logprobs_result"))).alias("candidates")))
+    response = F.when(k == 0, openai).when(k == 1, anthropic).when(k == 2, gemini).otherwise("{not json")
+    ran = F.when((k < 2) & (t % 3 > 0), F.array(F.struct(call.alias("call_id"), F.lit("found").alias("content"), F.when(t % 3 == 2, "Timeout").alias("error_type"), F.lit(1.234).alias("latency_ms"))))
+    got = responses.parsed(table(spark, d, "conversations").select("conv_id", "turn", response.alias("response"), ran.alias("ran")), "response", "ran")
+    n = lambda kind: F.size(F.filter("nodes", lambda x: x["type"] == kind))
+    of = lambda kind: F.get(F.filter("nodes", lambda x: x["type"] == kind), F.lit(0))["value"]
+    return got.select(
+        "conv_id", "turn", "model", F.when(n("text") > 0, "text").otherwise("").alias("last_kind"), n("tool_call").alias("n_calls"), n("tool_result").alias("n_results"), F.coalesce(of("text"), F.lit("")).alias("answer"), F.try_element_at("trace", F.lit(-1))["id"].alias("last_step"),
+        F.round("mean", 9).alias("mean"), F.round("var", 9).alias("var"), F.get_json_object(of("tool_result"), "$.is_error").cast("boolean").alias("failed"),
+    )
