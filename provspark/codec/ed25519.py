@@ -34,6 +34,13 @@ def plus(p: Point, q: Point) -> Point:
     return e * f % P, g * h % P, f * g % P, e * h % P
 
 
+def twice(p: Point) -> Point:
+    a, b = p[0] * p[0] % P, p[1] * p[1] % P
+    e, g, h = (p[0] + p[1]) ** 2 - a - b, b - a, -a - b
+    f = g - 2 * p[2] * p[2]
+    return e * f % P, g * h % P, f * g % P, e * h % P
+
+
 def times(n: int, p: Point) -> Point:
     """Four bits of n at a time."""
     row = [ZERO, p]
@@ -41,9 +48,7 @@ def times(n: int, p: Point) -> Point:
         row.append(plus(row[-1], p))
     out = ZERO
     for digit in f"{n:x}":
-        for _ in range(4):
-            out = plus(out, out)
-        out = plus(out, row[int(digit, 16)])
+        out = plus(twice(twice(twice(twice(out)))), row[int(digit, 16)])
     return out
 
 
@@ -75,10 +80,9 @@ def to_bytes(p: Point) -> bytes:
 BASE = from_bytes((4 * pow(5, P - 2, P) % P).to_bytes(32, "little"))
 
 
-@lru_cache(1)
-def base_table() -> list[list[Point]]:
-    """Multiples 0 to 15 of the base point, by each power of 16."""
-    out, p = [], BASE
+def table_of(p: Point) -> list[list[Point]]:
+    """Multiples 0 to 15 of a point, by each power of 16."""
+    out = []
     for _ in range(64):
         row = [ZERO]
         for _ in range(15):
@@ -88,13 +92,41 @@ def base_table() -> list[list[Point]]:
     return out
 
 
-def base_times(n: int) -> Point:
+@lru_cache(1)
+def base_table() -> list[list[Point]]:
+    return table_of(BASE)
+
+
+def summed(n: int, table: list[list[Point]]) -> Point:
+    """n times the point of a table."""
     out = ZERO
-    for row in base_table():
+    for row in table:
         out, n = plus(out, row[n & 15]), n >> 4
     return out
 
 
+def base_times(n: int) -> Point:
+    return summed(n, base_table())
+
+
+class Frequent:
+    """The negative of a public key, with a table once it has been used a few times. A table is some 300 KB."""
+
+    def __init__(self, key: bytes) -> None:
+        x, y, _, t = from_bytes(key)
+        self.point, self.uses, self.table = (-x % P, y, 1, -t % P), 0, None
+
+    def times(self, n: int) -> Point:
+        self.uses += 1
+        if self.uses > 4 and self.table is None:
+            self.table = table_of(self.point)
+        return times(n, self.point) if self.table is None else summed(n, self.table)
+
+
+#: Keys of signers, the latest used ones.
+frequent = lru_cache(100)(Frequent)
+
+
 def hashed(*parts: bytes) -> int:
     return int.from_bytes(hashlib.sha512(b"".join(parts)).digest(), "little")
 
@@ -104,13 +136,14 @@ def expanded(seed: bytes) -> tuple[int, bytes]:
     return int.from_bytes(h[:32], "little") & (1 << 254) - 8 | 1 << 254, h[32:]
 
 
+@lru_cache(4096)
 def public_key(seed: bytes) -> bytes:
     return to_bytes(base_times(expanded(seed)[0]))
 
 
 def sign(seed: bytes, message: bytes) -> bytes:
     a, prefix = expanded(seed)
-    key = to_bytes(base_times(a))
+    key = public_key(seed)
     r = hashed(prefix, message) % ORDER
     point = to_bytes(base_times(r))
     return point + ((r + hashed(point, key, message) * a) % ORDER).to_bytes(32, "little")
@@ -136,9 +169,7 @@ def verify(key: bytes, message: bytes, signature: bytes) -> bool:
     s, r = int.from_bytes(signature[32:], "little"), signature[:32]
     if s >= ORDER:
         return False
-    minus = from_bytes(key)
-    minus = (-minus[0] % P, minus[1], 1, -minus[3] % P)
-    return to_bytes(plus(base_times(s), times(hashed(r, key, message) % ORDER, minus))) == r
+    return to_bytes(plus(base_times(s), frequent(key).times(hashed(r, key, message) % ORDER))) == r
 
 
 def seed_from_words(words: str, passphrase: str = "", rounds: int = 600_000) -> bytes:
