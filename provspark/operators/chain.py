@@ -37,6 +37,17 @@ def verdicts(df: DataFrame, chain: str, position: str) -> DataFrame:
     return df.groupBy(chain).agg(F.count(F.lit(1)).alias("hops"), F.count(broken).alias("broken_links"), F.min(broken).alias("first_broken"))
 
 
+def signed_verdicts(df: DataFrame, chain: str, position: str) -> DataFrame:
+    """By chain: hops, ok, and the first bad hop with its reason: its signature isn't valid, or else its link is broken.
+
+    df: chain, position, signature_status, and link_ok of checked().
+    """
+    bad = F.when(~F.col("signature_status").eqNullSafe(F.lit("valid")), "signature").when(~F.coalesce("link_ok", F.lit(False)), "link")
+    first = F.min(F.when(bad.isNotNull(), F.struct(F.col(position).alias("at"), bad.alias("why")))).alias("_f")
+    by = df.groupBy(chain).agg(F.count(F.lit(1)).alias("hops"), first)
+    return by.select(chain, "hops", F.col("_f").isNull().alias("ok"), F.col("_f.at").alias("bad_hop"), F.col("_f.why").alias("reason"))
+
+
 def trusted_prefix(df: DataFrame, chain: str, position: str) -> DataFrame:
     """Adds in_trust: whether no link up to this hop is broken. A break taints all that follows."""
     upto = hops(chain, position).rowsBetween(Window.unboundedPreceding, Window.currentRow)

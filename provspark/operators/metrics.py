@@ -88,3 +88,24 @@ def distribution_ok(mean: Column, var: Column, p5: Column, p95: Column) -> Colum
     unit = lambda x: x.isNull() | (~F.isnan(x) & x.between(0, 1))
     finite = ~F.isnan(var) & (var != float("inf")) & (var >= 0)
     return F.coalesce(mean.isNotNull() & unit(mean) & finite & unit(p5) & unit(p95) & (p5.isNull() | p95.isNull() | (p5 <= p95)), F.lit(False))
+
+
+def judgments(df: DataFrame, response: str, rubric: list[str], unread: int = 3) -> DataFrame:
+    """df with criterion, score and justification, a row for each criterion of the rubric, from a judge's answer in the agreed form.
+
+    A block begins with a line CRITERION: name; its lines SCORE: and JUSTIFICATION: count wherever they stand in it, the last one of
+    each. A score that is no whole number, or none, is unread; of blocks of one name the last counts, and one that is missing is unread.
+    """
+    kept = [F.col(f"`{c}`") for c in df.columns]
+    after = lambda lines, head: F.get(F.filter(lines, lambda x: x.startswith(head)), F.size(F.filter(lines, lambda x: x.startswith(head))) - 1)
+    value = lambda line, head: F.trim(F.substr(line, F.lit(len(head) + 1)))
+    blocks = F.transform(F.split(F.coalesce(response, F.lit("")), "\nCRITERION:"), lambda b: F.split(F.trim(b, F.lit(" \t\r\n")), "\r?\n"))
+    named = F.transform(blocks, lambda lines: F.named_struct(F.lit("name"), F.trim(F.replace(lines[0], F.lit("CRITERION:"), F.lit(""))), F.lit("s"), after(lines, "SCORE:"), F.lit("j"), after(lines, "JUSTIFICATION:")))
+    rows = df.select(*kept, named.alias("_b"), F.explode(F.array(*[F.lit(c) for c in rubric])).alias("criterion"))
+    own = F.filter("_b", lambda b: b["name"] == F.col("criterion"))
+    rows = rows.withColumn("_own", F.get(own, F.size(own) - 1))
+    score = value(F.col("_own.s"), "SCORE:")
+    return rows.select(
+        *kept, "criterion", F.coalesce(F.when(score.rlike(r"^[+-]?[0-9]{1,9}$"), score.cast("int")), F.lit(unread)).alias("score"),
+        F.when(F.col("_own").isNull(), "Could not parse judgment.").otherwise(F.coalesce(value(F.col("_own.j"), "JUSTIFICATION:"), F.lit(""))).alias("justification"),
+    )

@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from provspark.codec import artifact as A
 from provspark.codec import exchange, keys
 from provspark.functions import scalars
-from provspark.operators import responses
+from provspark.operators import chain, metrics, responses
 from provspark.operators.shared import folder
 from provspark.plans.artifacts import NAMED, PUBLIC, built, documents_of
 from provspark.plans.registry import query, table
+from provspark.plans.relational import CHAIN_SQL, tampered
 from provspark.sources import artifacts as S
 from provspark.sources import lists
 from provspark.sources.datasource import form_of, register
@@ -173,3 +174,29 @@ def recorded_responses(spark, d):
         "conv_id", "turn", "model", F.when(n("text") > 0, "text").otherwise("").alias("last_kind"), n("tool_call").alias("n_calls"), n("tool_result").alias("n_results"), F.coalesce(of("text"), F.lit("")).alias("answer"), F.try_element_at("trace", F.lit(-1))["id"].alias("last_step"),
         F.round("mean", 9).alias("mean"), F.round("var", 9).alias("var"), F.get_json_object(of("tool_result"), "$.is_error").cast("boolean").alias("failed"),
     )
+
+
+@query("""SELECT CAST(conv_id AS VARCHAR) AS artifact_id, conv_id % 2 = 0 AS signed, CASE WHEN conv_id % 2 = 0 THEN true END AS verified, 'model' AS source_model, CASE WHEN conv_id % 2 = 1 THEN 0 WHEN conv_id % 4 = 0 THEN 2 ELSE 1 END AS n_signers FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id % 6 <> 5)""")
+def verify_to_json(spark, d):
+    rows = S.verified_json(S.assessed(built(spark, d), "artifact_id", "content"))
+    at = lambda path, kind: F.get_json_object("json", path).cast(kind)
+    return rows.select("artifact_id", at("$._signed", "boolean").alias("signed"), at("$._verified", "boolean").alias("verified"), at("$.provenance.source_model", "string").alias("source_model"), F.json_array_length(F.get_json_object("json", "$.signers")).alias("n_signers"))
+
+
+RUBRIC = ("clarity", "calibration", "sources")
+
+
+@query("""SELECT doc_id, c AS criterion, CASE WHEN c = 'sources' THEN 3 WHEN c = 'calibration' THEN CASE WHEN doc_id % 3 = 0 THEN 3 ELSE 4 END ELSE doc_id % 5 + 1 END::INT AS score, CASE c WHEN 'sources' THEN 'Could not parse judgment.' WHEN 'calibration' THEN '' ELSE 'because: ' || lang END AS justification
+FROM documents, (SELECT unnest(['clarity', 'calibration', 'sources']) AS c)""")
+def judge_answers(spark, d):
+    """Answers in the agreed form, with a criterion that isn't in the rubric, a score that is no number and a criterion that is missing."""
+    score = (F.col("doc_id") % 5 + 1).cast("string")
+    text = F.concat(F.lit("\nCRITERION: clarity\nSCORE: 9\nSCORE: "), score, F.lit("\nJUSTIFICATION: because: "), "lang", F.lit("\n\nCRITERION: style\nSCORE: 1\nCRITERION: calibration\nSCORE: "), F.when(F.col("doc_id") % 3 == 0, "four").otherwise("4"), F.lit("\n\nSUMMARY: fine"))
+    return metrics.judgments(table(spark, d, "documents").select("doc_id", text.alias("answer")), "answer", list(RUBRIC)).drop("answer")
+
+
+@query(f"""WITH {CHAIN_SQL}, z AS (SELECT conv_id, turn, CASE WHEN conv_id % 5 = 2 AND turn = 2 THEN 'signature' WHEN NOT link_ok THEN 'link' END AS why FROM k)
+SELECT conv_id, count(*) AS hops, count(why) = 0 AS ok, min(turn) FILTER (why IS NOT NULL) AS bad_hop, arg_min(why, turn) FILTER (why IS NOT NULL) AS reason FROM z GROUP BY conv_id""")
+def signed_chains(spark, d):
+    status = F.when((F.col("conv_id") % 5 == 2) & (F.col("turn") == 2), "invalid").otherwise("valid")
+    return chain.signed_verdicts(tampered(spark, d).withColumn("signature_status", status), "conv_id", "turn")

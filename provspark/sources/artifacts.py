@@ -383,6 +383,14 @@ def keystore_checked(rows: DataFrame, revoked: DataFrame) -> DataFrame:
     return docs.join(by, F.col("artifact_id") == F.col("_a"), "left").drop("_a")
 
 
+def verified_json(rows: DataFrame) -> DataFrame:
+    """artifact_id and json of assessed() rows that decode: what they are, with _signed, and _verified where they are signed."""
+    signed = F.size("signatures") > 0
+    ok = F.forall("checked", lambda s: s["status"] == "valid")
+    what = F.struct("artifact_id", "artifact_digest", "content_id", "provenance", "confidence", F.transform("checked", lambda s: s["signer"]).alias("signers"), signed.alias("_signed"), F.when(signed, ok).alias("_verified"))
+    return rows.filter("decode.ok").select("artifact_id", F.to_json(what).alias("json"))
+
+
 def audit(files: DataFrame, key: str, content: str, fields: list[str], known: DataFrame | None = None, require_pq: bool = False, **how) -> DataFrame:
     """The trust report with how many of the named provenance fields are filled in, and whether all are."""
     from provspark.operators import export
