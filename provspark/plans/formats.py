@@ -11,7 +11,7 @@ from provspark.codec import artifact as A
 from provspark.codec import exchange, keys
 from provspark.functions import scalars
 from provspark.operators import chain, metrics, responses
-from provspark.operators.shared import folder
+from provspark.operators.shared import cut, folder
 from provspark.plans.artifacts import NAMED, PUBLIC, built, documents_of
 from provspark.plans.registry import query, table
 from provspark.plans.relational import CHAIN_SQL, tampered
@@ -200,3 +200,14 @@ SELECT conv_id, count(*) AS hops, count(why) = 0 AS ok, min(turn) FILTER (why IS
 def signed_chains(spark, d):
     status = F.when((F.col("conv_id") % 5 == 2) & (F.col("turn") == 2), "invalid").otherwise("valid")
     return chain.signed_verdicts(tampered(spark, d).withColumn("signature_status", status), "conv_id", "turn")
+
+
+@query("""SELECT CAST(conv_id AS VARCHAR) AS artifact_id, 'model' AS model, count(*) AS n_nodes, true AS same_json, true AS same_packed, true AS noticed, first(coalesce(text, '') ORDER BY turn) AS first_value FROM conversations WHERE conv_id % 6 <> 5 GROUP BY conv_id""")
+def layouts_for_exchange(spark, d):
+    """Exported in both layouts, read by SQL, imported again with the same nodes (the layouts have no place for a nonce, so the content id is another); a changed body is noticed."""
+    out = cut(S.exported(built(spark, d), "artifact_id"))
+    own = S.decoded(built(spark, d), "artifact_id", "content").filter("decode.ok").select("artifact_id", F.to_json("payload").alias("nodes"), F.size("payload").cast("bigint").alias("n_nodes"))
+    again = lambda df, column, name: S.decoded(S.imported(df, column), "artifact_id", "content").select(F.col("artifact_id").alias(f"_{name}"), F.to_json("payload").alias(name))
+    changed = S.imported(out.withColumn("compact", F.replace("compact", F.lit('"fmt":"spif"'), F.lit('"fmt":"spiff"'))), "compact").select(F.col("artifact_id").alias("_c"), (F.col("error") != "").alias("noticed"))
+    met = own.join(out, "artifact_id").join(again(out, "compact", "j"), F.col("artifact_id") == F.col("_j")).join(again(out, "packed", "p"), F.col("artifact_id") == F.col("_p")).join(changed, F.col("artifact_id") == F.col("_c"))
+    return met.select("artifact_id", F.get_json_object("compact", "$.prov.m").alias("model"), "n_nodes", (F.col("j") == F.col("nodes")).alias("same_json"), (F.col("p") == F.col("nodes")).alias("same_packed"), "noticed", F.get_json_object("compact", "$.payload[0].val").alias("first_value"))

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provspark.codec import artifact as A
-from provspark.codec import cbor, ed25519
+from provspark.codec import cbor, ed25519, layouts
 from provspark.functions.scalars import HYBRID_KEY, HYBRID_SIGNATURE, PQ_SIGNATURE, is_cross
 from provspark.operators.shared import cut
 from provspark.sources import governance
@@ -405,3 +405,39 @@ def handoff(files: DataFrame, key: str, content: str, expected_signer: str, **ho
     signed = F.exists("signatures", lambda s: s["signer"] == expected_signer)
     reason = F.when(F.col("trust_status") != "VALID", F.lower("trust_status")).when(~F.coalesce(signed, F.lit(False)), "unexpected_signer").otherwise("accepted")
     return met.select("artifact_id", (reason == "accepted").alias("accepted"), reason.alias("reason"))
+
+
+def exported(files: DataFrame, key: str = "path", content: str = "content") -> DataFrame:
+    """artifact_id, compact (JSON) and packed (MessagePack), in the format's layouts for exchange; nulls for what can't be decoded."""
+    schema = pa.schema([("artifact_id", pa.string()), ("compact", pa.string()), ("packed", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for k, d in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                try:
+                    doc = A.decode(d or b"")
+                    out.append({"artifact_id": k, "compact": layouts.to_compact(doc), "packed": layouts.to_packed(doc)})
+                except A.Invalid:
+                    out.append({"artifact_id": k})
+            yield pa.RecordBatch.from_pylist(out, schema=schema)
+
+    return files.select(F.col(key).cast("string"), F.col(content).cast("binary")).mapInArrow(run, "artifact_id string, compact string, packed binary")
+
+
+def imported(rows: DataFrame, column: str, key: str = "artifact_id") -> DataFrame:
+    """(artifact_id, content, error): artifacts, unsigned, from a column of exported(), compact or packed; an error where the checksum or the shape is wrong."""
+    read = layouts.from_compact if column == "compact" else layouts.from_packed
+    schema = pa.schema([("artifact_id", pa.string()), ("content", pa.binary()), ("error", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                try:
+                    out.append({"artifact_id": k, "content": A.encode(read(x) | {"signatures": []}), "error": ""})
+                except (ValueError, KeyError, TypeError, AttributeError) as e:
+                    out.append({"artifact_id": k, "error": str(e) or type(e).__name__})
+            yield pa.RecordBatch.from_pylist(out, schema=schema)
+
+    return rows.filter(F.col(column).isNotNull()).select(F.col(key).alias("artifact_id"), column).mapInArrow(run, "artifact_id string, content binary, error string")
