@@ -121,6 +121,14 @@ def ref_node(ref: Column) -> Column:
     return F.when(is_cross(ref), F.substr(ref, F.instr(ref, F.lit("#")) + 1))
 
 
+def input_hash(messages: Column) -> Column:
+    """SHA-256 of messages (array of struct<role, content>) as JSON with sorted keys and a blank after each comma and colon; '' without any."""
+    text = lambda x: F.regexp_replace(F.to_json(F.array(F.coalesce(x, F.lit("")))), r"^\[|\]$", "")
+    one = lambda m: F.concat(F.lit('{"content": '), text(m["content"]), F.lit(', "role": '), text(m["role"]), F.lit("}"))
+    whole = F.concat(F.lit("["), F.array_join(F.transform(messages, one), ", "), F.lit("]"))
+    return F.when(F.size(messages) > 0, F.sha2(whole.cast("binary"), 256)).otherwise("")
+
+
 def slug(key: Column) -> Column:
     """A key as a file name: all but ASCII letters, digits and -_.~ percent-encoded."""
     return F.replace(F.replace(F.replace(F.url_encode(key), F.lit("+"), F.lit("%20")), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))

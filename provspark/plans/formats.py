@@ -211,3 +211,32 @@ def layouts_for_exchange(spark, d):
     changed = S.imported(out.withColumn("compact", F.replace("compact", F.lit('"fmt":"spif"'), F.lit('"fmt":"spiff"'))), "compact").select(F.col("artifact_id").alias("_c"), (F.col("error") != "").alias("noticed"))
     met = own.join(out, "artifact_id").join(again(out, "compact", "j"), F.col("artifact_id") == F.col("_j")).join(again(out, "packed", "p"), F.col("artifact_id") == F.col("_p")).join(changed, F.col("artifact_id") == F.col("_c"))
     return met.select("artifact_id", F.get_json_object("compact", "$.prov.m").alias("model"), "n_nodes", (F.col("j") == F.col("nodes")).alias("same_json"), (F.col("p") == F.col("nodes")).alias("same_packed"), "noticed", F.get_json_object("compact", "$.payload[0].val").alias("first_value"))
+
+
+@query("""SELECT conv_id, sha256('[' || string_agg('{"content": ' || CAST(to_json(coalesce(text, '')) AS VARCHAR) || ', "role": ' || CAST(to_json(coalesce(role, '')) AS VARCHAR) || '}', ', ' ORDER BY turn) || ']') AS input_hash FROM conversations GROUP BY 1""")
+def input_hashes(spark, d):
+    turns = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("m"))
+    return turns.select("conv_id", scalars.input_hash(F.transform("m", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content")))).alias("input_hash"))
+
+
+@query("""WITH t AS (SELECT conv_id, turn, conv_id % 3 AS k, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations)
+SELECT DISTINCT CAST(conv_id AS VARCHAR) AS stream_id, 'opened' AS event, NULL::BIGINT AS seq FROM t UNION ALL SELECT DISTINCT CAST(conv_id AS VARCHAR), 'resumed', 1 FROM t UNION ALL SELECT CAST(conv_id AS VARCHAR), 'partial_text', turn FROM t WHERE turn > 0 AND k > 0
+UNION ALL SELECT DISTINCT CAST(conv_id AS VARCHAR), CASE WHEN n > 1 AND k < 2 THEN 'error' ELSE 'verified' END, NULL FROM t""")
+def stream_resume(spark, d):
+    """Streams that go on after their first part: of three one starts below the resume point, and one ends as another text."""
+    from provspark.codec import stream
+    from provspark.streaming import artifacts as streams
+
+    parts = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("text")))).alias("parts"))
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for c, ps in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                value = "".join(p["text"] for p in ps) + "!" * (c % 3 == 1 and len(ps) > 1)
+                node = {"id": "main", "type": "text", "value": value, "confidence": exchange.CERTAIN, "refs": []}
+                later = [("main", p["turn"] - (c % 3 == 0), p["text"]) for p in ps[1:]]
+                out.append({"path": str(c), "content": stream.written({"payload": [node]}, later, (1, stream.prefix_digest(ps[0]["text"].encode())))})
+            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("path", pa.string()), ("content", pa.binary())]))
+
+    return streams.replayed(parts.mapInArrow(run, "path string, content binary")).select("stream_id", "event", "seq")
