@@ -142,7 +142,7 @@ def posteriors(rows: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     probability and on bad ones with another, independently of the other rules. All rows count,
     through the counts by pattern; there are 3 ** rules patterns at most.
     """
-    n = len(rules(lambda c: F.lit(0)))
+    n = len(BANDS)
     counts = rows.groupBy(F.col("_q_votes").alias("p")).agg(F.count(F.lit(1)).cast("double").alias("n"))
     one = counts.agg(F.array_sort(F.collect_list(F.struct("p", F.transform(F.split("p", ","), lambda v: v.cast("int")).alias("v"), "n"))).alias("t")).filter(F.size("t") > 0)
     fitted = one.withColumn("m", F.expr(f"aggregate(sequence(1, {rounds}), {start(n)}, (m, round) -> {again(n)})"))
@@ -201,7 +201,7 @@ def sql() -> str:
     """verdicts() of documents, for DuckDB: counts by unnesting, expectation-maximisation as a recursive query."""
     blanks = r"\x20\x09-\x0D"
     chars = lambda members: f"length(regexp_replace(t, '[^{members}]+', '', 'g'))"
-    names = list(rules(lambda c: F.lit(0)))
+    names = list(BANDS)
     n, per = len(names), lambda c: f"CASE WHEN n_words > 0 THEN {c}::DOUBLE / n_words END"
     values = {
         "length": "n_words", "word_length": per("word_chars"), "symbols": per("n_symbols"), "repeated_lines": "CASE WHEN n_lines > 0 THEN n_dup_lines::DOUBLE / n_lines END", "repeated_words": per("n_repeat_words"),
