@@ -260,7 +260,7 @@ def assessed(files: DataFrame, key: str, content: str, known: DataFrame | None =
         for b in batches:
             out = []
             for k, d in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                r = row_of(k, d, True)
+                r = row_of(k, d, True) | {"checked": []}
                 if held is not None:
                     signed = [dict(zip(("key", "basis"), pinned_key(s["signer"], held))) | s for s in r.get("signatures") or []]
                     r["checked"] = [{n: s[n] for n in ("signer", "algorithm", "basis")} | {"status": signature_status(s | {"body": r["body"]}, require_pq)} for s in signed]

@@ -47,6 +47,25 @@ def test_trust_report(spark, files):
     assert {r.artifact_id: r.trust_status for r in S.trust_report(df, "path", "content", statements=told).collect()}["multi"] == "REVOKED"
 
 
+def test_pinned_keys_held_or_joined(spark, files, monkeypatch):
+    """With few pinned keys workers hold them, with many they are joined: the report is the same. Pinned signers' statements apply."""
+    df, rows = files
+    url = "https://keys.example/1"
+    known = spark.createDataFrame([(url, KEY[1]), (KEY[2], "unusable")], "signer string, key_b64 string")
+    s = {"artifact_digest": A.digest(rows["url"]), "signer": url, "issued_ms": 5, "reason": "retracted"}
+    good, forged = ed25519.sign(SEED[1], A.statement_bytes(s)), ed25519.sign(SEED[2], A.statement_bytes(s))
+    told = spark.createDataFrame([(*s.values(), x) for x in (good, good, forged, b"")] + [(None, None, None, None, None)], "artifact_digest string, signer string, issued_ms long, reason string, signature binary")
+    columns = ["artifact_id", "trust_status", "revocations_applied", "forged_revocations", "n_signatures"]
+    report = lambda: sorted(S.trust_report(df, "path", "content", known, told).select(*columns, "signatures").collect())
+    held = report()
+    by = {r.artifact_id: r for r in held}
+    assert tuple(by["url"])[1:4] == ("REVOKED", 1, 2) and by["url"].signatures[0].basis == "pinned"
+    monkeypatch.setattr(S, "HELD_KEYS", 1)
+    joined = report()
+    same = lambda rs: [(*r[:5], sorted(map(tuple, r.signatures or []))) for r in rs]
+    assert same(joined) == same(held)
+
+
 def test_hybrid_signatures(spark):
     key = base64.b64encode(ed25519.public_key(SEED[1]) + bytes(1952)).decode()
     doc = document(9)

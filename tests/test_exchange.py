@@ -97,3 +97,29 @@ def test_lists(spark, tmp_path):
     (tmp_path / "keys").mkdir()
     (tmp_path / "keys" / "k1.pub").write_bytes(b"k" * 32)
     assert L.load_keys(spark, str(tmp_path / "keys")).first()[:] == ("k1", base64.b64encode(b"k" * 32).decode())
+
+
+def test_layouts_for_exchange():
+    """MessagePack keeps all layers but task and roles; compact JSON keeps values as text and no signatures. Both notice a change."""
+    from provspark.codec import layouts
+
+    for seed in range(30):
+        doc = A.decode(A.signed(document(seed), keys(1 + seed % 2)))
+        packed = layouts.to_packed(doc)
+        again = layouts.from_packed(packed)
+        for layer in ("payload", "trace", "trace_method", "alternatives", "normalized", "delta", "signatures"):
+            assert again[layer] == doc[layer], layer
+        assert {k: again["provenance"][k] for k in layouts.SHORT_PROVENANCE} == {k: doc["provenance"][k] for k in layouts.SHORT_PROVENANCE}
+        assert (again["semantic"] or {}).get("embedding") == (doc["semantic"] or {}).get("embedding")
+        with pytest.raises((X.Mismatch, ValueError)):
+            layouts.from_packed(packed[:-1] + bytes([packed[-1] ^ 1]))
+        text = layouts.to_compact(doc)
+        body = json.loads(text)
+        assert body["fmt"] == "spif" and body["prov"]["m"] == "m" and len(body["payload"]) == len(doc["payload"]) and ("sem" in body) == bool(doc["semantic"])
+        back = layouts.from_compact(text)
+        assert [(n["id"], n["type"], n["value"], n["confidence"], n["refs"]) for n in back["payload"]] == [(n["id"], n["type"], n["value"] if isinstance(n["value"], str) else str(n["value"]), n["confidence"], n["refs"]) for n in doc["payload"]]
+        assert back["trace"] == doc["trace"] and back["delta"] == (doc["delta"] and {"base_hash": "0" * 64, "changes": []}) and A.decode(A.encode(back))["payload"]
+        with pytest.raises(X.Mismatch):
+            layouts.from_compact(text.replace('"prov":{"m":"m"', '"prov":{"m":"n"'))
+        with pytest.raises(X.Mismatch):
+            layouts.from_compact("{}")
