@@ -9,11 +9,18 @@ correlate with most, which similar texts share far oftener than as many equal bi
 Pigeonhole: two texts meet if they share two of SEGMENTS codewords or more, so a text is filed under the pairs of its
 codewords, 153 keys. In theory that finds 97 of 100 pairs at 0.8 exactly, 99 at 0.85 and all but one of 1000 at 0.9. What meets
 is compared by 192 bits; links that hold there are thinned to spanning ones, and the true shingle sets verify each.
+
+An exact check follows, for the pairs that this leaves out: those of other codewords or more differing bits (texts of a few
+shingles above all), and those whose thinned links failed. In any one order of all shingles, two sets of the similarity share
+one of their leading ones (a fifth of each at 0.8), so texts are filed under these, rare ones first. Pairs that meet there,
+aren't linked yet and whose sizes, places and sketches allow the similarity are verified too. So components are exactly
+those of all links.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,11 +41,15 @@ APART, SURE = 41, 24
 BLOCK = 4096
 #: One text in so many is asked which keys are hot. That decides where rows meet, never whether.
 ASKED = 128
-#: Hot keys up to which their list is broadcast.
+#: One text in so many is asked which shingles are frequent, and how often it has to have one. That decides their order, never whether.
+COUNTED, OFTEN = 16, 4
+#: Rows up to which a list is broadcast, and most frequent shingles.
 BROADCAST = 100_000
-PRINTS = pa.schema([("doc_id", pa.int64()), ("digest", pa.int64()), ("id", pa.int64()), *((f"w{i}", pa.int64()) for i in range(CARRIED)), ("codes", pa.binary())])
-PRINTS_SQL = "doc_id long, digest long, id long, " + ", ".join(f"w{i} long" for i in range(CARRIED)) + ", codes binary"
+PRINTS = pa.schema([("doc_id", pa.int64()), ("digest", pa.int64()), ("id", pa.int64()), *((f"w{i}", pa.int64()) for i in range(CARRIED)), ("codes", pa.binary()), ("size", pa.int64()), ("lead", pa.binary()), ("sketch", pa.binary())])
+PRINTS_SQL = "doc_id long, digest long, id long, " + ", ".join(f"w{i} long" for i in range(CARRIED)) + ", codes binary, size long, lead binary, sketch binary"
 WORDS = [f"w{i}" for i in range(CARRIED)]
+#: Far more than a rounding error of the similarity times a set's size, and far less than one shingle.
+SLACK = 1e-6
 LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -84,19 +95,64 @@ def decoded(margin: np.ndarray, book: np.ndarray) -> np.ndarray:
     return np.concatenate([(parts[at : at + 512] @ book).argmax(1) for at in range(0, len(parts), 512)]).astype("<u2").reshape(-1, SEGMENTS)
 
 
-def prints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id; digest, the text's own hash; id, the fingerprint's hash; its carried words; and its codewords."""
+def frequent(docs: DataFrame, shingle: int = SHINGLE) -> np.ndarray:
+    """Hashes of the most frequent shingles, BROADCAST at most, rarer ones first: by a sample of the distinct texts."""
+    schema = pa.schema([("key", pa.int64())])
+
+    def make():
+        return lambda rows: batch(schema, key=pa.array(np.concatenate([shingles(x, shingle) for x in text_bytes(rows.column("text"))]).view(np.int64)))
+
+    some = keyed(docs).filter(F.pmod(F.xxhash64("text", F.lit(2)), F.lit(COUNTED)) == 0).select("text").dropDuplicates()
+    often = cut(map_batches(some, ["text"], make, "key long").groupBy("key").count().filter(F.col("count") >= OFTEN))
+    room, least = BROADCAST, None
+    for r in sorted(often.groupBy("count").agg(F.count(F.lit(1)).alias("n")).collect(), reverse=True):
+        if r.n > room:
+            break
+        room, least = room - r.n, r[0]
+    if least is None:
+        return np.empty(0, np.uint64)
+    rows = often.filter(F.col("count") >= least).select("count", "key").collect()
+    return np.array([k for _, k in sorted(map(tuple, rows))], np.int64).view(np.uint64)
+
+
+def leading(h: np.ndarray, often: np.ndarray, by: np.ndarray, similarity: float) -> np.ndarray:
+    """The first of a set's hashes, rare ones by value and then frequent() ones: sets of the similarity have one of them in common.
+
+    They share similarity times the larger one's size or more, too many to lie behind the leading ones. by sorts often.
+    """
+    n = len(h) - math.ceil(similarity * len(h) - SLACK) + 1
+    at = by[np.minimum(np.searchsorted(often, h, sorter=by), len(often) - 1)] if len(often) else np.zeros(len(h), np.int64)
+    known = often[at] == h if len(often) else np.zeros(len(h), bool)
+    rare = h[~known][:n]
+    return np.concatenate([rare, often[np.sort(at[known])][: n - len(rare)]])
+
+
+def sketch(h: np.ndarray) -> np.ndarray:
+    """Parities of the numbers of hashes by their lowest bits, about as many as hashes, packed: every bit that differs is a hash that isn't shared."""
+    bits = max(64, 1 << max(0, len(h) - 1).bit_length())
+    return np.packbits(np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1, bitorder="little")
+
+
+def differing(x: np.ndarray, y: np.ndarray) -> int:
+    """Bits in which two sketches differ, the longer one folded to the other's length."""
+    x, y = (x, y) if len(x) >= len(y) else (y, x)
+    return int(np.bitwise_count(np.bitwise_xor.reduce(x.reshape(-1, len(y)), axis=0) ^ y).sum())
+
+
+def prints(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id; digest, the text's own hash; id, the shingle set's hash; the fingerprint's carried words and codewords; the set's size, leading hashes and sketch."""
+    often = frequent(docs, shingle)
 
     def make():
-        book = signs(codewords())
+        book, by = signs(codewords()), np.argsort(often)
 
         def f(rows: pa.RecordBatch) -> pa.RecordBatch:
-            margin = np.array([margins(shingles(x, shingle)) for x in text_bytes(rows.column("text"))])
-            packed = np.packbits(margin > 0, axis=1, bitorder="little")
-            words = packed.view("<u8").view(np.int64)
-            ids = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in packed], np.uint64).view(np.int64)
-            codes = decoded(margin, book)
-            return batch(PRINTS, doc_id=ids_of(rows), digest=rows.column("digest"), id=pa.array(ids), codes=[x.tobytes() for x in codes], **{n: pa.array(words[:, i]) for i, n in enumerate(WORDS)})
+            sets = [shingles(x, shingle).astype("<u8") for x in text_bytes(rows.column("text"))]
+            margin = np.array([margins(h) for h in sets])
+            words = np.packbits(margin > 0, axis=1, bitorder="little").view("<u8").view(np.int64)
+            ids = np.array([xxhash.xxh64_intdigest(h.tobytes()) for h in sets], np.uint64).view(np.int64)
+            of_set = dict(size=[len(h) for h in sets], lead=[leading(h, often, by, similarity).astype("<u8").tobytes() for h in sets], sketch=[sketch(h).tobytes() for h in sets])
+            return batch(PRINTS, doc_id=ids_of(rows), digest=rows.column("digest"), id=pa.array(ids), codes=[x.tobytes() for x in decoded(margin, book)], **of_set, **{n: pa.array(words[:, i]) for i, n in enumerate(WORDS)})
 
         return f
 
@@ -121,8 +177,8 @@ def filed(distinct: DataFrame) -> DataFrame:
     return distinct.select("id", *WORDS, "codes").mapInArrow(run, "key long, id long, " + ", ".join(f"{n} long" for n in WORDS))
 
 
-def dealt(keys: DataFrame, asked: DataFrame, block: int) -> DataFrame:
-    """keys with cell and side: rows of a hot key are dealt to blocks, and every two blocks meet in one cell, as does each with itself.
+def dealt(keys: DataFrame, asked: DataFrame, block: int, carried: list[str] = WORDS) -> DataFrame:
+    """key, id and carried columns with cell and side: rows of a hot key are dealt to blocks, and every two blocks meet in one cell, as does each with itself.
 
     side is 0 for rows that are compared with those of side 1, and 2 for rows that are compared with each other.
     """
@@ -134,7 +190,7 @@ def dealt(keys: DataFrame, asked: DataFrame, block: int) -> DataFrame:
     wide = wide.withColumn("own", F.pmod(F.xxhash64("id"), n))
     cells = F.transform(F.sequence(F.lit(0).cast("bigint"), n - 1), lambda x: F.struct((F.least(own, x) * n + F.greatest(own, x)).alias("cell"), F.when(own == x, 2).when(own < x, 0).otherwise(1).cast("byte").alias("side")))
     plain = F.array(F.struct(F.lit(0).cast("bigint").alias("cell"), F.lit(2).cast("byte").alias("side")))
-    return wide.select("key", "id", *WORDS, F.explode(F.coalesce(F.when(n.isNotNull(), cells), plain)).alias("at")).select("key", "id", *WORDS, "at.cell", "at.side")
+    return wide.select("key", "id", *carried, F.explode(F.coalesce(F.when(n.isNotNull(), cells), plain)).alias("at")).select("key", "id", *carried, "at.cell", "at.side")
 
 
 class Forest:
@@ -175,29 +231,32 @@ class Forest:
                     yield int(ids[at + some[r]]), int(self.ids[c])
 
 
-def meet(batches: Iterator[pa.RecordBatch], apart: int = APART) -> Iterator[pa.RecordBatch]:
-    """Rows of dealt(), sorted by key and cell, to links; a group may go on through several batches."""
+def met(rows: DataFrame, carried: list[str], told: Callable, fit: Callable) -> DataFrame:
+    """Links that told() and fit() find among the rows of dealt() that share key and cell."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return grouped(batches, carried, told, fit)
+
+    return rows.repartition("key", "cell").sortWithinPartitions("key", "cell").select("key", "cell", "side", "id", *carried).mapInArrow(run, "a long, b long").distinct()
+
+
+def grouped(batches: Iterator[pa.RecordBatch], carried: list[str], told: Callable, fit: Callable) -> Iterator[pa.RecordBatch]:
+    """Rows of dealt(), sorted by key and cell, to links; a group may go on through several batches.
+
+    told() gives arrays of links (one a row) among a group's rows, of which the columns are key, cell, side, id and what is
+    carried; fit() tells which rows of two such tables link.
+    """
     held: list[np.ndarray] = []
 
-    def told(rows: np.ndarray) -> list[tuple[int, int]]:
-        # Columns: key, cell, side, id, words.
-        side, ids, words = rows[:, 2], rows[:, 3], rows[:, 4:].view(np.uint64)
-        out = []
-        for filed_side, passing in ((2, 2), (0, 1)):
-            a, b = side == filed_side, side == passing
-            if a.any() and b.any() and (filed_side != passing or a.sum() > 1):
-                out += Forest(ids[a], words[a], apart).links(ids[b], words[b])
-        return out
-
-    def packed(pairs: list[tuple[int, int]] | np.ndarray) -> Iterator[pa.RecordBatch]:
-        if len(pairs):
-            x = np.asarray(pairs, np.int64).reshape(-1, 2)
-            yield batch(LINKS, a=pa.array(x.min(1)), b=pa.array(x.max(1)))
+    def packed(found: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for x in found:
+            if len(x):
+                yield batch(LINKS, a=pa.array(x.min(1)), b=pa.array(x.max(1)))
 
     for rows in batches:
         if not rows.num_rows:
             continue
-        now = np.stack([rows.column(n).to_numpy().astype(np.int64) for n in ("key", "cell", "side", "id", *WORDS)], axis=1)
+        now = np.stack([rows.column(n).to_numpy().astype(np.int64) for n in ("key", "cell", "side", "id", *carried)], axis=1)
         edge = np.concatenate([[0], np.nonzero((now[1:, :2] != now[:-1, :2]).any(1))[0] + 1, [len(now)]])
         if held and (held[0][0, :2] != now[0, :2]).any():
             yield from packed(told(np.concatenate(held)))
@@ -215,9 +274,8 @@ def meet(batches: Iterator[pa.RecordBatch], apart: int = APART) -> Iterator[pa.R
         size = np.diff(edge)[first:-1]
         two = edge[first:-2][size == 2] if len(edge) > 2 else np.empty(0, np.int64)
         if len(two):
-            bits = np.bitwise_count((now[two, 4:] ^ now[two + 1, 4:]).view(np.uint64)).sum(1, dtype=np.int64)
-            good = two[(bits <= apart) & (now[two, 3] != now[two + 1, 3])]
-            yield from packed(np.stack([now[good, 3], now[good + 1, 3]], axis=1))
+            good = two[fit(now[two], now[two + 1]) & (now[two, 3] != now[two + 1, 3])]
+            yield from packed([np.stack([now[good, 3], now[good + 1, 3]], axis=1)])
         for g in np.nonzero(size > 2)[0] + first:
             yield from packed(told(now[edge[g] : edge[g + 1]]))
         held = [now[edge[-2] :]]
@@ -225,11 +283,103 @@ def meet(batches: Iterator[pa.RecordBatch], apart: int = APART) -> Iterator[pa.R
         yield from packed(told(np.concatenate(held)))
 
 
+def sides(rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """The rows of a group that are compared with each other, and whether they are the same."""
+    side = rows[:, 2]
+    for one, other in ((2, 2), (0, 1)):
+        a, b = rows[side == one], rows[side == other]
+        if len(a) and len(b) and (one != other or len(a) > 1):
+            yield a, b, one == other
+
+
+def spanning(rows: np.ndarray) -> Iterator[np.ndarray]:
+    """Thinned links between rows that are APART bits from each other or less."""
+    for a, b, _ in sides(rows):
+        found = list(Forest(a[:, 3], a[:, 4:].view(np.uint64), APART).links(b[:, 3], b[:, 4:].view(np.uint64)))
+        yield np.array(found, np.int64).reshape(-1, 2)
+
+
+def close(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.bitwise_count((x[:, 4:] ^ y[:, 4:]).view(np.uint64)).sum(1, dtype=np.int64) <= APART
+
+
 def candidates(distinct: DataFrame, block: int = BLOCK) -> DataFrame:
     """Links (a, b) between ids that seem similar by their carried bits, thinned."""
     some = filed(distinct.filter(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(ASKED)) == 0))
     rows = dealt(filed(distinct), some, block)
-    return rows.repartition("key", "cell").sortWithinPartitions("key", "cell").select("key", "cell", "side", "id", *WORDS).mapInArrow(meet, "a long, b long").distinct()
+    return met(rows, WORDS, spanning, close)
+
+
+def allowed(x: np.ndarray, y: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether rows of led() are of two components and may have the similarity, if none of their earlier leading hashes is shared.
+
+    From a shared hash on, two sets can share no more hashes than either has left. Arrays of rows are broadcast.
+    """
+    left = np.minimum((x[..., 5] >> 32) - (x[..., 5] & 0xFFFFFFFF), (y[..., 5] >> 32) - (y[..., 5] & 0xFFFFFFFF))
+    return (x[..., 4] != y[..., 4]) & ((1 + similarity) * left >= similarity * ((x[..., 5] >> 32) + (y[..., 5] >> 32)) - SLACK)
+
+
+def every(rows: np.ndarray, similarity: float) -> Iterator[np.ndarray]:
+    """All allowed() pairs among the rows of a group, each once."""
+    for a, b, same_rows in sides(rows):
+        if (a[:, 4] == a[0, 4]).all() and (b[:, 4] == a[0, 4]).all():
+            continue
+        step = max(1, (1 << 20) // len(a))
+        for at in range(0, len(b), step):
+            y = b[at : at + step]
+            fits = allowed(y[:, None], a[None, :], similarity)
+            if same_rows:
+                fits &= y[:, None, 3] < a[None, :, 3]
+            i, j = np.nonzero(fits)
+            yield np.stack([y[i, 3], a[j, 3]], axis=1)
+
+
+def led(distinct: DataFrame) -> DataFrame:
+    """key, id, root and place (the set's size in the upper half, the hash's number in the lower) for each leading hash of (id, root, size, lead)."""
+    schema = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("root", pa.int64()), ("place", pa.int64())])
+
+    def make():
+        def f(rows: pa.RecordBatch) -> pa.RecordBatch:
+            lead = rows.column("lead").to_pylist()
+            n = np.array([len(x) // 8 for x in lead], np.int64)
+            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            again = {c: np.repeat(rows.column(c).to_numpy(), n) for c in ("id", "root", "size")}
+            return batch(schema, key=pa.array(np.frombuffer(b"".join(lead), "<i8")), id=pa.array(again["id"]), root=pa.array(again["root"]), place=pa.array(again["size"] << 32 | at))
+
+        return f
+
+    return map_batches(distinct, ["id", "root", "size", "lead"], make, "key long, id long, root long, place long")
+
+
+def remaining(distinct: DataFrame, roots: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
+    """Pairs (a, b) of different roots that may have the similarity; none is left out that has it."""
+    of = rooted(distinct.select("id", "size", "lead"), roots)
+    some = led(of.filter(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(ASKED)) == 0))
+    rows = dealt(led(of), some, block, ["root", "place"])
+    pairs = met(rows, ["root", "place"], lambda x: every(x, similarity), lambda x, y: allowed(x, y, similarity))
+    one = pairs.join(distinct.select(F.col("id").alias("a"), F.col("size").alias("n"), F.col("sketch").alias("x")), "a")
+    both = one.join(distinct.select(F.col("id").alias("b"), F.col("size").alias("m"), F.col("sketch").alias("y")), "b")
+
+    def make():
+        def f(rows: pa.RecordBatch) -> pa.RecordBatch:
+            total = rows.column("n").to_numpy() + rows.column("m").to_numpy()
+            apart = [differing(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)) for x, y in zip(rows.column("x").to_pylist(), rows.column("y").to_pylist())]
+            keep = pa.array((1 + similarity) * np.array(apart) <= (1 - similarity) * total + SLACK)
+            return batch(LINKS, a=rows.column("a").filter(keep), b=rows.column("b").filter(keep))
+
+        return f
+
+    return map_batches(both, ["a", "b", "n", "m", "x", "y"], make, "a long, b long")
+
+
+def beside(few: DataFrame) -> DataFrame:
+    """few, broadcast if it has BROADCAST rows or fewer."""
+    return F.broadcast(few) if few.count() <= BROADCAST else few
+
+
+def rooted(ids: DataFrame, roots: DataFrame) -> DataFrame:
+    """ids with root, each id's own where roots (id, root) hasn't it."""
+    return ids.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -257,12 +407,12 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, shingle: int = SHINGLE) ->
     schema = pa.schema([("id", pa.int64()), ("shingles", pa.binary())])
     texts = marked(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")))
     of = wanted.select("id", *key_of(F.col("doc_id"), F.col("digest"), "o"))
-    met = texts.join(of, same("k", "o")).select("id", F.col("row.text").alias("text")).dropDuplicates(["id"])
+    found = texts.join(of, same("k", "o")).select("id", F.col("row.text").alias("text")).dropDuplicates(["id"])
 
     def make():
         return lambda rows: batch(schema, id=rows.column("id"), shingles=[shingles(x, shingle).astype("<u8").tobytes() for x in text_bytes(rows.column("text"))])
 
-    return map_batches(met, ["id", "text"], make, "id long, shingles binary")
+    return map_batches(found, ["id", "text"], make, "id long, shingles binary")
 
 
 def key_of(doc_id, digest, name: str) -> list:
@@ -279,16 +429,25 @@ def marked(docs: DataFrame) -> DataFrame:
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *key_of(F.col("doc_id").cast("bigint"), F.xxhash64(F.col("text").cast("string")), "k"))
 
 
+def linked(docs: DataFrame, distinct: DataFrame, pairs: DataFrame, similarity: float, shingle: int, few: Callable[[DataFrame], DataFrame] = lambda x: x) -> DataFrame:
+    """The pairs that the true shingle sets verify."""
+    nodes = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    wanted = distinct.join(nodes, "id").select("id", F.col("f.d").alias("doc_id"), F.col("f.g").alias("digest"))
+    return verified(pairs, cut(shingle_sets(docs, few(wanted), shingle)), similarity)
+
+
 def classes(docs: DataFrame, found: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:
     """id and root, its component, for each distinct id of found, the prints() of docs."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("digest").alias("g"))).alias("f")
-    distinct = cut(found.groupBy("id").agg(first, *(F.first(n).alias(n) for n in (*WORDS, "codes"))))
-    pairs = cut(candidates(distinct, block))
-    nodes = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    wanted = distinct.join(nodes, "id").select("id", F.col("f.d").alias("doc_id"), F.col("f.g").alias("digest"))
-    links = verified(pairs, cut(shingle_sets(docs, wanted, shingle)), similarity)
-    roots = components(links).select(F.col("node").alias("id"), "root")
-    return distinct.select("id", "f").join(roots, "id", "left").select("id", "f", F.coalesce("root", "id").alias("root"))
+    distinct = cut(found.groupBy("id").agg(first, *(F.first(n).alias(n) for n in (*WORDS, "codes", "size", "lead", "sketch"))))
+    links = linked(docs, distinct, cut(candidates(distinct, block)), similarity, shingle)
+    roots = beside(components(links).select(F.col("node").alias("id"), "root"))
+    # Shuffled rows and checkpoints that nothing refers to any more leave the disk when the driver collects its garbage.
+    docs.sparkSession._jvm.System.gc()
+    more = linked(docs, distinct, cut(remaining(distinct, roots, similarity, block)), similarity, shingle, lambda x: beside(cut(x)))
+    ends = rooted(rooted(more.withColumnRenamed("a", "id"), roots).select(F.col("root").alias("a"), F.col("b").alias("id")), roots).select("a", F.col("root").alias("b"))
+    tops = beside(components(ends).select(F.col("node").alias("root"), F.col("root").alias("top")))
+    return rooted(distinct.select("id", "f"), roots).join(tops, "root", "left").select("id", "f", F.coalesce("top", "root").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:
@@ -296,7 +455,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: in
 
     Nulls, empty and repeated texts as in keep_one().
     """
-    found = cut(prints(docs, shingle))
+    found = cut(prints(docs, shingle, similarity))
     of = classes(docs, found, similarity, shingle, block)
     least = of.groupBy("root").agg(F.min("f.d").alias("component_id"))
     named = of.join(least, "root").select("id", "component_id")
@@ -312,7 +471,7 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHI
     long texts are hashed in parts. An empty table gives an empty result. Whole texts are shuffled once to be chosen
     from, and those of candidates once more to be verified.
     """
-    found = cut(prints(docs, shingle))
+    found = cut(prints(docs, shingle, similarity))
     first = classes(docs, found, similarity, shingle, block).groupBy("root").agg(F.min("f").alias("f"))
     chosen = first.select(*key_of(F.col("f.d"), F.col("f.g"), "c"))
     kept = marked(docs).join(chosen, same("k", "c"), "left_semi").dropDuplicates(["k_none", "k_id", "k_digest"])

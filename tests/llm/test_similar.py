@@ -104,3 +104,61 @@ def test_edge_rows(spark):
     found = S.near_duplicates(docs).collect()
     assert len(found) == len(rows) and {r.component_id for r in found if r.doc_id in (1, 2, 3)} == {1}
     assert S.near_duplicates(docs.limit(0)).count() == 0 and S.keep_one(docs.limit(0)).count() == 0
+
+
+def edges():
+    """Pairs of texts of few and of many words at a similarity of 0.8 or a little more or less, some in chains, and a passage that many share."""
+    r = random.Random(29)
+    rows = []
+    for i in range(240):
+        n = (9, 13, 22, 40, 94, 210)[i % 6]
+        words = [f"e{r.randrange(9000)}" for _ in range(n)]
+        rows.append(" ".join(words))
+        for _ in range(2):
+            # Cut at both ends, so that a fifth of the shingles or one more or less is not shared.
+            cut = max(1, round((n - 4) * 0.2) + r.choice((-1, 0, 0, 1)))
+            front = r.randint(0, cut)
+            words = words[front : len(words) - (cut - front)]
+            if len(words) > 5:
+                rows.append(" ".join(words))
+    passage = [f"p{i}" for i in range(60)]
+    for _ in range(150):
+        rows.append(" ".join(passage[r.randint(0, 6) :] + [f"q{r.randrange(9000)}" for _ in range(r.randint(2, 12))]))
+    return rows
+
+
+@pytest.mark.parametrize("block", [S.BLOCK, 7])
+def test_no_link_is_lost(spark, block):
+    texts = edges()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    sets = [frozenset(S.shingles(t.encode()).tolist()) for t in texts]
+    got = {r.doc_id: r.component_id for r in S.near_duplicates(docs, block=block).collect()}
+    assert [got[i] for i in range(len(texts))] == brute(sets)
+
+
+def test_leading_hashes_and_sketches():
+    r = np.random.default_rng(3)
+    for _ in range(300):
+        n = int(r.integers(1, 200))
+        x = np.unique(r.integers(0, 1 << 63, n).astype(np.uint64))
+        gone, new = r.integers(0, n // 5 + 1), r.integers(0, n // 5 + 1)
+        y = np.unique(np.concatenate([r.permutation(x)[gone:], r.integers(0, 1 << 63, new).astype(np.uint64)]))
+        often = r.permutation(np.concatenate([x[: r.integers(0, len(x) + 1)], r.integers(0, 1 << 63, 50).astype(np.uint64)]))
+        shared = len(np.intersect1d(x, y))
+        apart = len(x) + len(y) - 2 * shared
+        assert S.differing(S.sketch(x), S.sketch(y)) <= apart and S.differing(S.sketch(x), S.sketch(x)) == 0
+        for similarity in (0.5, 0.8, 1.0):
+            by = np.argsort(often)
+            lead = [S.leading(z, often, by, similarity) for z in (x, y)]
+            assert all(set(a.tolist()) <= set(z.tolist()) for a, z in zip(lead, (x, y)))
+            if jaccard(set(x.tolist()), set(y.tolist())) >= similarity:
+                assert np.intersect1d(*lead).size
+
+
+def test_frequent_shingles_come_last(spark):
+    rows = [(i, f"one two three four five six x{i}") for i in range(400)]
+    often = S.frequent(spark.createDataFrame(rows, "doc_id long, text string"))
+    common = set(S.shingles(b"one two three four five six").tolist())
+    assert set(often.tolist()) == common
+    h = S.shingles(rows[7][1].encode())
+    assert not common & set(S.leading(h, often, np.argsort(often), 0.8).tolist())
