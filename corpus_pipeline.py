@@ -5,7 +5,7 @@ rejected documents, all but one of near-duplicates and documents that aren't dra
 masked; the last stage packs what is left. All but the last return the columns of documents.
 
 Near-duplicates are texts with a Jaccard similarity of 0.8 or more of their five-word shingles, found by the SimHash operator's
-Golay keys over wide fingerprints and verified.
+Golay keys over wide fingerprints and verified; an exact check finds those that the keys leave out.
 Nulls, empty and very long texts, ties, repeated rows, empty tables and further columns are as each operator's
 module defines them; SQL can't express the stages, so tests hold near-duplicates and
 packing against brute force, and the other stages against what their operators report row by row, which have tests of their own.
