@@ -6,6 +6,7 @@ folder that the cluster shares, and words are split the one way that all contrac
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 from collections.abc import Callable, Iterator
@@ -49,10 +50,49 @@ def nested(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *columns)
 
 
-def map_batches(df: DataFrame, columns: list[str], make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str) -> DataFrame:
+#: What this process remembers from one task to the next, by name: only for the tasks of steps that say so. Told to functions of this module alone,
+#: as a function that is sent to workers would bring a copy.
+_KEPT: dict[str, object] = {}
+
+
+def remembered(name: str, make: Callable[[], object]) -> object:
+    """What make() returned when this worker process first asked for the name since forget()."""
+    if name not in _KEPT:
+        _KEPT[name] = make()
+    return _KEPT[name]
+
+
+def forget() -> None:
+    """Drop what earlier tasks of this worker process remembered: Spark uses it for other steps too."""
+    _KEPT.clear()
+
+
+def give_back() -> None:
+    """Return memory that is free to the system; else a worker keeps the most that any of its tasks had, for as long as it lives."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run for mapInArrow, with nothing left in the worker from tasks before or from its own."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return whole
+
+
+def map_batches(df: DataFrame, columns: list[str], make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str, remembers: bool = False) -> DataFrame:
     """Apply a function to Arrow batches of some columns; make() runs once in each task and returns it.
 
-    Batches are sliced by bytes besides rows, so a run of very long texts doesn't meet in one call.
+    Batches are sliced by bytes besides rows, so a run of very long texts doesn't meet in one call. remembers: make() uses
+    remembered(), so workers keep that until a step comes that doesn't.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,7 +104,7 @@ def map_batches(df: DataFrame, columns: list[str], make: Callable[[], Callable[[
                 if out is not None and out.num_rows:
                     yield out
 
-    return df.select(*columns).mapInArrow(run, schema)
+    return df.select(*columns).mapInArrow(run if remembers else tidy(run), schema)
 
 
 def sliced(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:

@@ -46,7 +46,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = "") -> Da
 
         return f
 
-    return map_batches(keyed(docs), ["doc_id", "text"], make, COLUMNS)
+    return map_batches(keyed(docs), ["doc_id", "text"], make, COLUMNS, remembers=True)
 
 
 class Tightest:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provspark.llm.common import batch, ids_of, keyed, map_batches, sliced
+from provspark.llm.common import batch, ids_of, keyed, map_batches, sliced, tidy
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "account", "ssn", "login", "hidden_email")
@@ -331,4 +331,4 @@ def redact(docs: DataFrame) -> DataFrame:
                     columns["n_chars"] = pa.array(sizes, kind)
                 yield pa.RecordBatch.from_arrays(list(columns.values()), schema=rows.schema)
 
-    return docs.mapInArrow(run, fields)
+    return docs.mapInArrow(tidy(run), fields)

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provspark.llm.common import batch, cut, ids_of, keyed, map_batches, text_bytes
+from provspark.llm.common import batch, cut, ids_of, keyed, map_batches, text_bytes, tidy
 from provspark.llm.components import components
 from provspark.llm.simhash import SEED, codewords
 
@@ -174,7 +174,7 @@ def filed(distinct: DataFrame) -> DataFrame:
                 again = {n: pa.array(np.repeat(rows.column(n).to_numpy(), len(i))) for n in ("id", *WORDS)}
                 yield batch(schema, key=pa.array(key.ravel()), **again)
 
-    return distinct.select("id", *WORDS, "codes").mapInArrow(run, "key long, id long, " + ", ".join(f"{n} long" for n in WORDS))
+    return distinct.select("id", *WORDS, "codes").mapInArrow(tidy(run), "key long, id long, " + ", ".join(f"{n} long" for n in WORDS))
 
 
 def dealt(keys: DataFrame, asked: DataFrame, block: int, carried: list[str] = WORDS) -> DataFrame:
@@ -237,7 +237,7 @@ def met(rows: DataFrame, carried: list[str], told: Callable, fit: Callable) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return grouped(batches, carried, told, fit)
 
-    return rows.repartition("key", "cell").sortWithinPartitions("key", "cell").select("key", "cell", "side", "id", *carried).mapInArrow(run, "a long, b long").distinct()
+    return rows.repartition("key", "cell").sortWithinPartitions("key", "cell").select("key", "cell", "side", "id", *carried).mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def grouped(batches: Iterator[pa.RecordBatch], carried: list[str], told: Callable, fit: Callable) -> Iterator[pa.RecordBatch]:

@@ -32,4 +32,4 @@ def counted(docs: DataFrame, tokenizer: str = "", limit: int = LIMIT, huge: int
 
         return f
 
-    return map_batches(keyed(docs), ["doc_id", "text"], make, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return map_batches(keyed(docs), ["doc_id", "text"], make, "doc_id long, n_bytes long, n_tokens long, over_limit boolean", remembers=True)

@@ -15,6 +15,8 @@ from collections.abc import Iterator
 import public_tokenizers
 from tokenizers import Tokenizer
 
+from provspark.llm.common import remembered
+
 WORD_BPE = "word_bpe_49k.json"
 #: Words whose ids one worker remembers, and their bytes with their ids, before it forgets all and starts anew; bytes of a word that is remembered at all.
 MEMORY, MEMORY_BYTES, LONGEST = 1_000_000, 64 << 20, 64
@@ -80,14 +82,9 @@ class Words:
         return out
 
 
-_SHARED: dict[str, Words] = {}
-
-
 def shared_words(path: str = "") -> Words:
-    """The words that this worker process remembers from one task to the next."""
-    if path not in _SHARED:
-        _SHARED[path] = Words(word_bpe(path))
-    return _SHARED[path]
+    """The words that this worker process remembers from one task to the next, until a step comes that needs none."""
+    return remembered(f"words {path}", lambda: Words(word_bpe(path)))
 
 
 class OutOfStep(Exception):

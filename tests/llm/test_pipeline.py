@@ -1,14 +1,17 @@
 """The pipeline stage by stage: near-duplicates and packing against brute force, the other stages against what their operators report row by
 row, which tests of their own hold against plain loops."""
 
+import gc
 import random
 import re
 from collections import defaultdict
 
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline as P
-from provspark.llm import mixing, pii, quality, similar
+from provspark.llm import mixing, packing, pii, quality, similar, tokens
+from provspark.llm.common import batch, map_batches
 from tests.llm.test_similar import brute
 from tests.llm.test_tokens_packing import single, whole
 
@@ -69,3 +72,19 @@ def test_run(spark, folder):
 def test_empty(spark, folder, tmp_path):
     spark.read.parquet(f"{folder}/documents.parquet").limit(0).write.parquet(str(tmp_path / "documents.parquet"))
     assert P.run(spark, str(tmp_path)).count() == 0
+
+
+def test_workers_forget(spark):
+    """Words that packing remembers go when a worker turns to another step, whose memory they would count against."""
+    docs = spark.range(8).selectExpr("id AS doc_id", "concat('some words ', id) AS text").repartition(8)
+
+    def probe():
+        def make():
+            held = sum(type(x) is tokens.Words for x in gc.get_objects())
+            return lambda rows: batch(pa.schema([("n", pa.int64())]), n=[held] * rows.num_rows)
+
+        return {r.n for r in map_batches(docs, ["doc_id"], make, "n long").collect()}
+
+    assert len(packing.packed(docs).collect()) == 8
+    assert probe() == {0}
+    assert len(packing.packed(docs).collect()) == 8
